@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orbitweave.llm import quality_rules, topk, warc
+from orbitweave.llm.bpe import encoded_digests
+from orbitweave.llm.licences import licence_scan
+from orbitweave.llm.mixing import mixture
+from orbitweave.llm.pii import personal_data
+from orbitweave.llm.rule_ensemble import quality_scores
 from orbitweave.llm.simhash import near_duplicates
+from orbitweave.llm.wrappers import extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +23,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("left_share")
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.fixity_audit(pages, warc.bit_rot(pages))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_mixing, op3_bpe, op4_html_extraction, op5_quality_rules,
+        op6_licence_scan, op7_pii, op8_quality_classifier, op9_warc_audit, op10_simhash_near_dedup,
+    )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_topk_search": topk.SQL, "op5_quality_rules": quality_rules.SQL, "op9_warc_audit": warc.SQL}
