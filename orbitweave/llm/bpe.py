@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.session import shared_dir
+from orbitweave.session import durable, shared_dir
 
 #: Words that the lexicon holds at most; bounds the automaton to a few MB at any corpus size.
 LEXICON_WORDS = 250_000
@@ -280,11 +280,18 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The ``most`` most frequent words of all texts (with the blank before them), ties to the smaller word."""
+    """The most frequent words of all texts (with the blank before them): all down to some count, ``most`` at most."""
     word = F.explode(F.split("text", " ")).alias("word")
     counts = docs.select(word).filter(F.length("word").between(1, LEXICON_CHARS)).groupBy("word").count()
-    top = counts.filter("count > 1").orderBy(F.desc("count"), "word").limit(most).collect()
-    return [" " + r.word for r in top if WORD.fullmatch(" " + r.word)]
+    counts = durable(counts.filter("count > 1"))
+    # The least count that lets at most ``most`` words through, so that only those reach the driver.
+    left, least = most, 2
+    for r in counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).limit(most + 1).collect():
+        if r.words > left:
+            least = r["count"] + 1
+            break
+        left -= r.words
+    return sorted(" " + r.word for r in counts.filter(F.col("count") >= least).select("word").collect() if WORD.fullmatch(" " + r.word))
 
 
 def share_lexicon(spark: SparkSession, data: np.ndarray) -> str:
