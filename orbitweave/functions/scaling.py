@@ -13,7 +13,7 @@ def z_score(x: Column, mean: Column, std: Column, least_std: float = 1e-6) -> Co
 def min_max(x: Column, low: Column, high: Column) -> Column:
     """To [0, 1], clipped; a range of zero counts as one, missing or NaN values become 0."""
     span = F.when(high > low, high - low).otherwise(F.lit(1.0))
-    return F.coalesce(F.nanvl(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / span)), F.lit(0.0)), F.lit(0.0))
+    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / span)))
 
 
 def reflectance(radiance: Column, sun_distance: float, irradiance: float) -> Column:

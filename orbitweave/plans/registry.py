@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitweave.operators.sampling import middle_record
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -27,12 +25,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-@query("""
-SELECT event_id, ts, user_id, value FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-WHERE pos = n // 2
-""")
-def middle_record_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return middle_record(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", "ts", "user_id", "value")
