@@ -32,9 +32,9 @@ LEXICON_WORDS = 250_000
 #: Longest word, in characters, that the lexicon takes up.
 LEXICON_CHARS = 40
 #: Distinct words that a task remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Texts' bytes that a task encodes at once, and at least one text.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 # White space of the tokenizer's pattern, and the pattern by which it splits a text before merging.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -313,6 +313,33 @@ def _encoder(vocabulary_path: str, lexicon_name: str) -> Encoder:
     return Encoder(Vocabulary(vocabulary_path), Lexicon(np.memmap(SparkFiles.get(lexicon_name), np.int64, "r")))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of the batches (doc_id, text), at most about CHUNK_BYTES each, with their flat ids and where each row's begin and end."""
+    encoder = None
+    for b in batches:
+        encoder = encoder or _encoder(path, name)
+        start, size = 0, 0
+        lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+        for i in range(b.num_rows):
+            size += lengths[i]
+            if size >= CHUNK_BYTES or i == b.num_rows - 1:
+                part = b.slice(start, i + 1 - start)
+                ids, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                yield part, ids.astype(np.int32), np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                start, size = i + 1, 0
+
+
+def _texts(ids: np.ndarray, ends: np.ndarray, table: list[bytes]) -> list[str]:
+    """The text of each row's ids; bytes that are not UTF-8 become replacement characters."""
+    return [b"".join(map(table.__getitem__, ids[a:z].tolist())).decode("utf-8", "replace") for a, z in zip(ends, ends[1:], strict=False)]
+
+
+def _lexicon_of(docs: DataFrame, path: str, lexicon_words: int) -> str:
+    """Compiles and shares the lexicon of ``docs``' frequent words; returns its name."""
+    words = frequent_words(docs, lexicon_words)
+    return share_lexicon(docs.sparkSession, compile_lexicon([w.encode() for w in words], *Vocabulary(path).words(words)))
+
+
 def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """(doc_id, ids array<int>) for each row of ``docs`` (doc_id, text; other columns are not read), whole texts.
 
@@ -320,25 +347,12 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
     gives without added special tokens; the strings of special tokens in a text become their ids, as there. Null text:
     as empty, no ids. Repeated rows and null ids of documents pass through. The lexicon changes speed, not results.
     """
-    spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    words = frequent_words(docs, lexicon_words)
-    name = share_lexicon(spark, compile_lexicon([w.encode() for w in words], *Vocabulary(path).words(words)))
+    name = _lexicon_of(docs, path, lexicon_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for b in batches:
-            encoder = encoder or _encoder(path, name)
-            start, size = 0, 0
-            lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
-            for i in range(b.num_rows):
-                size += lengths[i]
-                if size >= CHUNK_BYTES or i == b.num_rows - 1:
-                    part = b.slice(start, i + 1 - start)
-                    ids, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                    yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
-                    start, size = i + 1, 0
+        for part, ids, ends in _chunks(batches, path, name):
+            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -357,16 +371,33 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             table = table or Vocabulary(path).bytes_of
             texts = []
             for ids in b.column(1):
-                texts.append(b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())).decode("utf-8", "replace") if ids.is_valid else None)
+                texts += _texts(ids.values.to_numpy(), np.array([0, len(ids)]), table) if ids.is_valid else [None]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """(doc_id, ids, text): what :func:`decode` gives for :func:`encode`, by one Python worker a task instead of two."""
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    name = _lexicon_of(docs, path, lexicon_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for part, ids, ends in _chunks(batches, path, name):
+            table = table or Vocabulary(path).bytes_of
+            yield pa.record_batch(
+                [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(_texts(ids, ends, table), pa.string())], ["doc_id", "ids", "text"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+
+
 def encoded_digests(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, by :func:`encode` and :func:`decode`."""
-    both = decode(encode(docs, path, lexicon_words), path)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, by :func:`round_trip`."""
+    both = round_trip(docs, path, lexicon_words)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
