@@ -64,3 +64,8 @@ def centred(a: Column, size: int, fill: Column) -> Column:
     left = F.floor((size - n) / 2).cast("int")
     padded = F.concat(F.array_repeat(fill, left), a, F.array_repeat(fill, size - n - left))
     return F.when(n <= size, padded).otherwise(F.slice(a, F.floor((n - size) / 2).cast("int") + 1, size))
+
+
+def gather(a: Column, places: list[int]) -> Column:
+    """The elements of an array at ``places``, from 0, in that order; null beyond its end."""
+    return F.transform(F.array(*[F.lit(i) for i in places]), lambda i: F.get(a, i))

@@ -66,3 +66,32 @@ def filled_histogram(df: DataFrame, cls: str, classes: int) -> DataFrame:
     """(class, n) for classes 0 to ``classes`` - 1, those without rows too."""
     n = df.groupBy(F.col(cls).cast("long").alias("class")).agg(F.count("*").alias("n"))
     return df.sparkSession.range(classes).withColumnRenamed("id", "class").join(n, "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def degenerate(x: str) -> Column:
+    """Aggregate: whether a tile has no value, only zeros, or one value throughout."""
+    return (F.count(x) == 0) | F.coalesce(F.max(F.abs(x)) == 0, F.lit(False)) | F.coalesce(F.stddev_pop(x) == 0, F.lit(False))
+
+
+def losses(df: DataFrame, by: list[str], pred: str, target: str, logit: str, label: str, masked: Column) -> DataFrame:
+    """mse, log1p_mse, masked_mae, max_abs and bce (of logits, in the form that can't overflow) by group; 0 where nothing counts."""
+    p, t, x = F.col(pred), F.col(target), F.col(logit)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    bce = F.greatest(x, F.lit(0.0)) - x * F.col(label) + F.log1p(F.exp(-F.abs(x)))
+    return df.groupBy(*by).agg(
+        zero(F.avg((p - t) * (p - t))).alias("mse"), zero(F.avg(F.pow(F.log1p(p) - F.log1p(t), 2))).alias("log1p_mse"), zero(F.avg(F.when(masked, F.abs(p - t)))).alias("masked_mae"),
+        zero(F.max(F.abs(p - t))).alias("max_abs"), zero(F.avg(bce)).alias("bce"),
+    )
+
+
+def binned_counts(df: DataFrame, by: list[str], x: str, low: float, high: float, bins: int) -> DataFrame:
+    """(by, bin, n) of equal bins over [low, high); what lies beyond counts in the end bins."""
+    at = F.least(F.greatest(F.floor((F.col(x) - low) / ((high - low) / bins)), F.lit(0)), F.lit(bins - 1)).cast("long")
+    return df.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def contrast_limits(df: DataFrame, by: list[str], x: str, factor: float) -> DataFrame:
+    """(by, low, high): the percentiles 50 -/+ 25 * factor, kept within 0 and 100."""
+    share = lambda p: min(max(p, 0.0), 100.0) / 100
+    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(share(50 - 25 * factor)), F.lit(share(50 + 25 * factor)))).alias("q"))
+    return q.select(*by, F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))

@@ -48,3 +48,13 @@ def with_dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
     return parts.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__id", "__part", "__at", "__start")
+
+
+def balanced_classes(df: DataFrame, cls: str, order: list[str], factor: float = 1.25) -> DataFrame:
+    """Of each class the first rows by ``order``, at most ``factor`` times as many as the smallest class has.
+
+    Class sizes come from one small aggregate, which is sent to all tasks: a row a class.
+    """
+    least = df.groupBy(cls).agg(F.count("*").alias("__n")).agg(F.floor(F.lit(factor) * F.min("__n")).alias("__most"))
+    nth = F.row_number().over(Window.partitionBy(cls).orderBy(*order))
+    return df.withColumn("__nth", nth).join(F.broadcast(least)).filter(F.col("__nth") <= F.col("__most")).drop("__nth", "__most")

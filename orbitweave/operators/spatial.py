@@ -43,3 +43,14 @@ def in_boxes(boxes: DataFrame, points: DataFrame, x: str, cell: float, key: list
     """Pairs of boxes [lo, hi] and points with lo <= x <= hi, by an equi-join on cells of ``x`` that a box touches."""
     touched = boxes.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))))
     return touched.join(points.withColumn("__cell", F.floor(F.col(x) / cell)), [*(key or []), "__cell"]).filter(F.col(x).between(F.col("lo"), F.col("hi"))).drop("__cell")
+
+
+def inside_disk(c: Column, low: float, high: float, half: float = 0, closed: bool = False) -> Column:
+    """Whether a tile of ``half`` around a cell lies in [low, high), or in [low, high] where ``closed``."""
+    return (c - half >= low) & ((c + half <= high) if closed else (c + half < high))
+
+
+def axis_index(value: Column, axis: list[float]) -> Column:
+    """Index of the nearest point of an ascending axis; the lower one wins ties, ends hold. The axis is a literal."""
+    middles = [(a + b) / 2 for a, b in zip(axis, axis[1:], strict=False)]
+    return F.size(F.filter(F.array(*[F.lit(m) for m in middles]).cast("array<double>"), lambda m: m < value))

@@ -49,3 +49,9 @@ def slot_of_day(ts: str, seconds: int = 1200) -> tuple[Column, Column]:
     slot = F.floor(second / seconds + 0.5).cast("int")
     last = 86400 // seconds
     return F.when(slot == last, F.date_add(F.to_date(ts), 1)).otherwise(F.to_date(ts)), F.when(slot == last, 0).otherwise(slot)
+
+
+def at_offsets(df: DataFrame, ts: str, minutes: list[int]) -> DataFrame:
+    """A row for each record and offset: minutes, frame_ts."""
+    each = df.withColumn("minutes", F.explode(F.array(*[F.lit(m) for m in minutes])))
+    return each.withColumn("frame_ts", F.col(ts) + F.make_dt_interval(mins=F.col("minutes")))

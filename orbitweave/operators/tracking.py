@@ -54,3 +54,9 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], count: int)
     placed = df.withColumn("__pos", F.row_number().over(by.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(by))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / (count - 1)))
     return placed.filter((F.col("__n") <= count) | F.array_contains(wanted, F.col("__pos").cast("double"))).drop("__pos", "__n")
+
+
+def typical_step(df: DataFrame, keys: list[str], order: list[str], x: str) -> DataFrame:
+    """(keys, step): the median of the positive distances between neighbours along each key's order."""
+    apart = F.abs(F.col(x) - F.lag(x).over(Window.partitionBy(*keys).orderBy(*order)))
+    return df.select(*keys, apart.alias("__apart")).filter("__apart > 0").groupBy(*keys).agg(F.median("__apart").alias("step"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitweave.functions import geo, scaling
 from orbitweave.operators import arrays, metrics, sampling, spatial, temporal, tracking
+from orbitweave.plans import more  # noqa: F401  registers its queries
 from orbitweave.plans.registry import QUERIES, SQL, query, table
 from orbitweave.streaming.windows import windowed_counts
 
