@@ -164,7 +164,7 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     in doc_id draw alike. An empty table gives no rows.
     """
     model = fit_domains(docs, labels)
-    scored = with_posteriors(docs, model, ["doc_id"])
+    scored = durable(with_posteriors(docs, model, ["doc_id"]))  # a few numbers a document, so that texts are read once
     rate = rate_after(fit_rates(scored, targets or TARGETS, whole), F.col("__posterior"))
     cells = [F.get("__posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
     return scored.select("doc_id", F.col("__tokens").alias("n_tokens"), *cells, rate.alias("rate")).withColumn("copies", _copies(F.col("rate")))
