@@ -77,7 +77,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> D
     odds = F.log((F.col("a") + 0.5) / (F.lit(total[0]) + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (F.lit(total[1] - total[0]) + 1.0))
     top = counts.filter((F.col("n") >= SIGNAL_DOCUMENTS) & (F.col("word") != "")).withColumn("score", F.col("a") * odds)
     signals = tuple(r.word for r in top.filter(odds > 3).orderBy(F.desc("score"), "word").limit(SIGNAL_WORDS).collect())
-    looks = with_features(train, ["domain"], signals)
+    looks = durable(with_features(train, ["domain"], signals))  # at most ``rows`` rows of a few short strings
     table = looks.select("domain", F.explode("__looks").alias("look")).groupBy("domain", "look").count().collect()  # buckets, not rows
     sizes = {d: 0 for d in DOMAINS} | {r.domain: r["count"] for r in looks.groupBy("domain").count().collect()}
     names = {look.split("=")[0] for look in (r["look"] for r in table)}
