@@ -38,26 +38,38 @@ class DomainModel:
     weights: tuple[dict[str, float], ...]
 
 
-def _letters(text: str) -> Column:
-    """Distinct lower-case words of letters."""
-    return F.array_distinct(F.split(F.btrim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+", " ")), " "))
+def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns, __tokens (words by white space), __looks (bucketed statistics, as name=value) and __letters.
 
-
-def with_features(docs: DataFrame, keep: list[str], signals: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns, __tokens (words by white space) and __looks (bucketed statistics, as name=value)."""
+    __letters are the lower-case words of letters, some of them twice. They are cut from the distinct words alone, and
+    characters are counted in what one pass leaves of the text.
+    """
     df = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text")).withColumn("__words", words_of(F.col("__text")))
-    n = F.greatest(F.size("__words"), F.lit(1))
+    df = df.select(
+        *keep,
+        F.size("__words").alias("__n"),
+        F.length("__text").alias("__length"),
+        F.array_distinct("__words").alias("__distinct"),
+        F.regexp_replace("__text", "[^#*$%&|<>!?A-Z]+", "").alias("__marks"),
+    )
+    n = F.greatest("__n", F.lit(1))
     bucket = lambda name, x, most: F.concat(F.lit(f"{name}="), F.least(F.floor(x), F.lit(most)).cast("string"))
-    hits = F.size(F.array_intersect(_letters("__text"), F.array(*[F.lit(s) for s in signals]))) if signals else F.lit(0)
     looks = F.array(
         bucket("words", F.log2(n), 16),
-        bucket("symbols", 8 * count_of(F.col("__text"), "[#*$%&|<>]") / n, 8),
-        bucket("bangs", 8 * count_of(F.col("__text"), "[!?]") / n, 8),
-        bucket("capitals", 8 * count_of(F.col("__text"), "[A-Z]") / F.greatest(F.length("__text"), F.lit(1)), 8),
-        bucket("distinct", 10 * F.size(F.array_distinct("__words")) / n, 10),
-        bucket("signals", hits, 2),
+        bucket("symbols", 8 * count_of(F.col("__marks"), "[#*$%&|<>]") / n, 8),
+        bucket("bangs", 8 * count_of(F.col("__marks"), "[!?]") / n, 8),
+        bucket("capitals", 8 * count_of(F.col("__marks"), "[A-Z]") / F.greatest("__length", F.lit(1)), 8),
+        bucket("distinct", 10 * F.size("__distinct") / n, 10),
     )
-    return df.select(*keep, F.size("__words").cast("long").alias("__tokens"), looks.alias("__looks"))
+    letters = F.split(F.btrim(F.regexp_replace(F.lower(F.array_join("__distinct", " ")), r"[^\p{L}]+", " ")), " ")
+    return df.select(*keep, F.col("__n").cast("long").alias("__tokens"), looks.alias("__looks"), letters.alias("__letters"))
+
+
+def with_signals(df: DataFrame, signals: tuple[str, ...]) -> DataFrame:
+    """``df`` of :func:`with_features` with __letters given up for one more look: how many ``signals`` stand there, 2 at most."""
+    hits = F.size(F.array_intersect("__letters", F.array(*[F.lit(s) for s in signals]))) if signals else F.lit(0)
+    look = F.concat(F.lit("signals="), F.least(hits, F.lit(2)).cast("string"))
+    return df.withColumn("__looks", F.concat("__looks", F.array(look))).drop("__letters")
 
 
 def _domain() -> Column:
@@ -71,13 +83,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> D
         .orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows)
     )
     train = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # at most ``rows`` short rows
+    train = durable(with_features(train, ["domain"]))  # the texts of those rows are read once
     toxic = F.col("domain").endswith("toxic").cast("int")
-    counts = train.select(F.explode(_letters("text")).alias("word"), toxic.alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    counts = train.select(F.explode(F.array_distinct("__letters")).alias("word"), toxic.alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     total = train.agg(F.coalesce(F.sum(toxic), F.lit(0)), F.count("*")).first()
     odds = F.log((F.col("a") + 0.5) / (F.lit(total[0]) + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / (F.lit(total[1] - total[0]) + 1.0))
     top = counts.filter((F.col("n") >= SIGNAL_DOCUMENTS) & (F.col("word") != "")).withColumn("score", F.col("a") * odds)
     signals = tuple(r.word for r in top.filter(odds > 3).orderBy(F.desc("score"), "word").limit(SIGNAL_WORDS).collect())
-    looks = durable(with_features(train, ["domain"], signals))  # at most ``rows`` rows of a few short strings
+    looks = with_signals(train, signals)
     table = looks.select("domain", F.explode("__looks").alias("look")).groupBy("domain", "look").count().collect()  # buckets, not rows
     sizes = {d: 0 for d in DOMAINS} | {r.domain: r["count"] for r in looks.groupBy("domain").count().collect()}
     names = {look.split("=")[0] for look in (r["look"] for r in table)}
@@ -94,7 +107,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> D
 
 def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:
     """``keep`` columns, __tokens, and __posterior: an array by domain, rounded to six places, of sum about 1."""
-    df = with_features(docs, keep, model.signals)
+    df = with_signals(with_features(docs, keep), model.signals)
 
     def log_score(k: int) -> Column:
         if not model.weights[k]:
