@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.llm.textstats import count_of, duplicate_lines, with_repeated_words, word_chars, words_of
+from orbitweave.session import durable
 
 #: A line is above its host's limit in more than this many distinct documents and more than this share of them.
 LINE_DOCUMENTS = 10
@@ -53,40 +54,48 @@ def normalised_lines(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_key, mark, line, words) by line: its hash and words; mark is the longest line's hash."""
-    cut = docs.select("doc_id", _host("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), normalised_lines(F.col("text")).alias("lines"))
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
+    """(doc_id, host, text_key, mark, lines, words) by row: each line's hash and its words; mark is the longest line's hash."""
+    cut = docs.select("doc_id", _host("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), normalised_lines(F.col("text")).alias("texts"))
+    longest = F.array_max(F.transform("texts", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
     n_words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    each = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), n_words(x).alias("words")))
-    return (
-        cut.select("doc_id", "host", "text_key", F.xxhash64(longest["line"]).alias("mark"), F.explode(each).alias("each"))
-        .select("doc_id", "host", "text_key", "mark", "each.line", "each.words")
+    return cut.select(
+        "doc_id", "host", "text_key",
+        F.xxhash64(longest["line"]).alias("mark"),
+        F.transform("texts", lambda x: F.xxhash64(x)).alias("lines"),
+        F.transform("texts", n_words).alias("words"),
     )
 
 
-def frequent_lines(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, line) of the lines above their host's limit."""
-    lines = lines_of(docs)
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("mark").alias("n")).filter(F.col("n") > documents)
-    hosts = lines.select("host", "mark").groupBy("host").agg(F.count_distinct("mark").alias("of"))
-    return counts.join(hosts, "host").filter(F.col("n") > share * F.col("of")).select("host", "line")
+def frequent_lines(lines: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
+    """(host, line) of the lines above their host's limit, from :func:`lines_of`."""
+    counts = lines.select("host", "mark", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("mark").alias("n"))
+    hosts = lines.filter(F.size("lines") > 0).groupBy("host").agg(F.count_distinct("mark").alias("of"))
+    return counts.filter(F.col("n") > documents).join(hosts, "host").filter(F.col("n") > share * F.col("of")).select("host", "line")
 
 
 def depletion(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
     """(doc_id, host, text_key, words, removed, removed_lines) of each text with lines."""
-    above = frequent_lines(docs, documents, share).select(
+    lines = durable(lines_of(docs))  # two numbers a line, so that texts are cut once for both counts and the verdict
+    above = frequent_lines(lines, documents, share).select(
         F.col("host").alias("above_host"), F.col("line").alias("above_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
-    lines = lines_of(docs).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
-    met = lines.join(above, (F.col("host") == F.col("above_host")) & (F.col("line") == F.col("above_line")) & (F.col("part") == F.col("salt")), "left")
+    each = lines.select("doc_id", "host", "text_key", F.inline(F.arrays_zip("lines", "words")).alias("line", "words"))
+    each = each.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
+    met = each.join(above, (F.col("host") == F.col("above_host")) & (F.col("line") == F.col("above_line")) & (F.col("part") == F.col("salt")), "left")
     gone = F.col("above_line").isNotNull()
     return met.groupBy("doc_id", "host", "text_key").agg(
         F.sum("words").alias("words"), F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("removed"), F.collect_set("above_line").alias("removed_lines")
     )
 
 
-def _same(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["host"] == right["host"]) & (left["text_key"] == right["text_key"])
+def _judged(docs: DataFrame, documents: int, share: float, left_share: float) -> DataFrame:
+    """:func:`base_statistics` with left_share (of the words, 1 for texts without lines) and kept."""
+    lost = depletion(docs, documents, share).select(
+        F.col("doc_id").alias("lost_id"), F.col("host").alias("lost_host"), F.col("text_key").alias("lost_key"), (1 - F.col("removed") / F.col("words")).alias("left_words")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("host") == F.col("lost_host")) & (F.col("text_key") == F.col("lost_key"))
+    left = F.coalesce("left_words", F.lit(1.0))
+    return base_statistics(docs).join(lost, same, "left").withColumn("left_share", left).withColumn("kept", ~F.col("base_failed") & (left >= left_share))
 
 
 def quality_rules(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
@@ -95,23 +104,16 @@ def quality_rules(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float
     ``docs`` has doc_id, text and source; other columns are not read. Null text counts as empty, and empty texts fail the
     base rules; a null source is a host of its own. Repeated rows are judged alike. An empty table gives no rows.
     """
-    base, lost = base_statistics(docs), depletion(docs, documents, share)
-    left = F.coalesce(1 - lost["removed"] / lost["words"], F.lit(1.0))
-    return base.join(lost, _same(base, lost), "left").select(
-        base["doc_id"], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        left.alias("left_share"),
-        (~F.col("base_failed") & (left >= left_share)).alias("kept"),
+    return _judged(docs, documents, share, left_share).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_share", "kept"
     )
 
 
-def kept_documents(docs: DataFrame, **limits: float) -> DataFrame:
+def kept_documents(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
     """The rows of ``docs`` that pass, as they are; rows that agree in doc_id are judged one by one."""
     keyed = docs.withColumn("__host", _host("source")).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left_share = limits.pop("left_share", LEFT_SHARE)
-    base, lost = base_statistics(docs), depletion(docs, **limits)
-    left = F.coalesce(1 - lost["removed"] / lost["words"], F.lit(1.0))
-    good = base.join(lost, _same(base, lost), "left").filter(~F.col("base_failed") & (left >= left_share))
-    good = good.select(base["doc_id"].alias("good_id"), base["host"].alias("good_host"), base["text_key"].alias("good_text"))
+    good = _judged(docs, documents, share, left_share).filter("kept")
+    good = good.select(F.col("doc_id").alias("good_id"), F.col("host").alias("good_host"), F.col("text_key").alias("good_text"))
     same = F.col("doc_id").eqNullSafe(F.col("good_id")) & (F.col("__host") == F.col("good_host")) & (F.col("__text") == F.col("good_text"))
     return keyed.join(good, same, "left_semi").select(*docs.columns)
 

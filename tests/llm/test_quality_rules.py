@@ -66,6 +66,15 @@ def test_counts_and_verdicts_match_plain(spark):
     assert "subscribe" not in clean[1].lower() and clean[200] == rows[63][1]
 
 
+def test_files_are_judged_as_tables_in_memory(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    verdicts = plain_kept(rows)
+    assert quality_rules(docs).filter("kept").count() == kept_documents(docs).count() == sum(verdicts)
+    assert without_frequent_lines(docs).count() == len(rows)
+
+
 def test_windows_are_told_apart_by_pairs_too(spark, monkeypatch):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 120))) for _ in range(50)]
