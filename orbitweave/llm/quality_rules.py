@@ -1,8 +1,8 @@
 """Quality rules by cross-document line frequency (operator 5), in DataFrame functions only.
 
 Normalised lines are hashed and counted by distinct documents of their host; lines above the host's limit count as
-removed, and a document that they deplete is rejected. Copies don't make each other's lines frequent: documents with the
-same longest line count as one.
+removed, and a document that they deplete is rejected. Copies don't make each other's lines frequent: for a line,
+documents that agree in the longest of their other lines count as one.
 """
 
 from __future__ import annotations
@@ -54,22 +54,32 @@ def normalised_lines(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_key, mark, lines, words) by row: each line's hash and its words; mark is the longest line's hash."""
+    """(doc_id, host, text_key, mark, next_mark, lines, words) by row: each line's hash and its words.
+
+    mark and next_mark are the hashes of the two longest distinct lines; without a second, next_mark is that of null.
+    """
     cut = docs.select("doc_id", _host("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), normalised_lines(F.col("text")).alias("texts"))
-    longest = F.array_max(F.transform("texts", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
+    longest = lambda texts: F.array_max(F.transform(texts, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+    cut = cut.withColumn("longest", longest("texts"))
     n_words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     return cut.select(
         "doc_id", "host", "text_key",
-        F.xxhash64(longest["line"]).alias("mark"),
+        F.xxhash64("longest").alias("mark"),
+        F.xxhash64(longest(F.filter("texts", lambda x: x != F.col("longest")))).alias("next_mark"),
         F.transform("texts", lambda x: F.xxhash64(x)).alias("lines"),
         F.transform("texts", n_words).alias("words"),
     )
 
 
 def frequent_lines(lines: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, line) of the lines above their host's limit, from :func:`lines_of`."""
-    counts = lines.select("host", "mark", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count_distinct("mark").alias("n"))
-    hosts = lines.filter(F.size("lines") > 0).groupBy("host").agg(F.count_distinct("mark").alias("of"))
+    """(host, line) of the lines above their host's limit, from :func:`lines_of`.
+
+    A line's documents are told apart by their longest other line, so that one long line shared by all doesn't hide them.
+    """
+    each = lines.select("host", "mark", "next_mark", F.explode("lines").alias("line"))
+    other = F.when(F.col("line") == F.col("mark"), F.col("next_mark")).otherwise(F.col("mark"))
+    counts = each.select("host", "line", other.alias("other")).groupBy("host", "line").agg(F.count_distinct("other").alias("n"))
+    hosts = lines.filter(F.size("lines") > 0).groupBy("host").agg(F.count_distinct("mark", "next_mark").alias("of"))
     return counts.filter(F.col("n") > documents).join(hosts, "host").filter(F.col("n") > share * F.col("of")).select("host", "line")
 
 

@@ -89,3 +89,13 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality_rules(docs).collect() == []
     assert kept_documents(docs).collect() == []
+
+
+def test_a_long_shared_line_does_not_hide_its_documents(spark):
+    rng = random.Random(7)
+    own = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    passage = own(80)
+    rows = [(i, f"{passage}\n{own(8)}", "site") for i in range(1000)] + [(2000 + i, own(80) + "\n" + own(8), "site") for i in range(20)]
+    rows += [(3000 + i, f"{own(70)}\n{passage}", "other") for i in range(5)] + [(4000, passage, "third")] * 30
+    kept = {r.doc_id for r in kept_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert kept == {r[0] for r in rows[1000:]}
