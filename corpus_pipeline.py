@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from orbitweave.llm.bpe import encoded_digests
 from orbitweave.llm.mixing import mixed
 from orbitweave.llm.pii import masked
-from orbitweave.llm.quality_rules import kept_documents
+from orbitweave.llm.quality_rules import cleaned_documents
 from orbitweave.llm.simhash import keep_one
 from orbitweave.session import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_documents(docs)
+    """Rejects documents, and takes the lines above their host's limit out of the others."""
+    return cleaned_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,9 +99,9 @@ def depletion(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = L
 
 
 def _judged(docs: DataFrame, documents: int, share: float, left_share: float) -> DataFrame:
-    """:func:`base_statistics` with left_share (of the words, 1 for texts without lines) and kept."""
+    """:func:`base_statistics` with left_share (of the words, 1 for texts without lines), removed_lines and kept."""
     lost = depletion(docs, documents, share).select(
-        F.col("doc_id").alias("lost_id"), F.col("host").alias("lost_host"), F.col("text_key").alias("lost_key"), (1 - F.col("removed") / F.col("words")).alias("left_words")
+        F.col("doc_id").alias("lost_id"), F.col("host").alias("lost_host"), F.col("text_key").alias("lost_key"), (1 - F.col("removed") / F.col("words")).alias("left_words"), "removed_lines"
     )
     same = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("host") == F.col("lost_host")) & (F.col("text_key") == F.col("lost_key"))
     left = F.coalesce("left_words", F.lit(1.0))
@@ -128,6 +128,13 @@ def kept_documents(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: floa
     return keyed.join(good, same, "left_semi").select(*docs.columns)
 
 
+def _with_rest(columns: list[str]) -> list[Column]:
+    """``columns``, text without the lines whose hashes are in removed_lines; as it is where there are none."""
+    flat = lambda x: F.btrim(F.regexp_replace(F.lower(x), r"[ \t\x0B\f\r]+", " "), F.lit(" "))
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed_lines", F.xxhash64(flat(x)))), "\n")
+    return [F.when(F.size("removed_lines") > 0, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns]
+
+
 def without_frequent_lines(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
     """The rows of ``docs`` with the lines above their host's limit taken out of the texts."""
     keyed = docs.withColumn("__host", _host("source")).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -135,10 +142,17 @@ def without_frequent_lines(docs: DataFrame, documents: int = LINE_DOCUMENTS, sha
         F.col("doc_id").alias("__id"), F.col("host").alias("__lost_host"), F.col("text_key").alias("__lost_key"), "removed_lines"
     )
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__host") == F.col("__lost_host")) & (F.col("__key") == F.col("__lost_key"))
-    flat = lambda x: F.btrim(F.regexp_replace(F.lower(x), r"[ \t\x0B\f\r]+", " "), F.lit(" "))
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed_lines", F.xxhash64(flat(x)))), "\n")
-    met = keyed.join(lost, same, "left")
-    return met.select(*[F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return keyed.join(lost, same, "left").select(*_with_rest(docs.columns))
+
+
+def cleaned_documents(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """:func:`kept_documents` with the lines above their host's limit taken out of the texts; lines are counted once for both."""
+    keyed = docs.withColumn("__host", _host("source")).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    good = _judged(docs, documents, share, left_share).filter("kept")
+    good = good.select(F.col("doc_id").alias("__id"), F.col("host").alias("__good_host"), F.col("text_key").alias("__good_key"), "removed_lines")
+    good = good.dropDuplicates(["__id", "__good_host", "__good_key"])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__host") == F.col("__good_host")) & (F.col("__key") == F.col("__good_key"))
+    return keyed.join(good, same).select(*_with_rest(docs.columns))
 
 
 #: The same query for DuckDB.

@@ -99,3 +99,16 @@ def test_a_long_shared_line_does_not_hide_its_documents(spark):
     rows += [(3000 + i, f"{own(70)}\n{passage}", "other") for i in range(5)] + [(4000, passage, "third")] * 30
     kept = {r.doc_id for r in kept_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert kept == {r[0] for r in rows[1000:]}
+
+
+def test_the_pipeline_takes_frequent_lines_out_of_kept_texts(spark):
+    import corpus_pipeline
+
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = corpus_pipeline.quality(spark, docs, "")
+    assert found.columns == docs.columns
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "")
+    want = [(d, "\n".join(x for x in t.split("\n") if not x.startswith("Subscribe")), s) for (d, t, s), kept in zip(rows, plain_kept(rows)) if kept]
+    got = sorted(map(tuple, found.collect()), key=order)
+    assert got == sorted(want, key=order) and any("Subscribe" in (t or "") for _, t, _ in rows[:60])
