@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from orbitweave.llm.textstats import count_of, duplicate_lines, with_repeated_words, word_chars, words_of
 from orbitweave.session import durable
 
-#: A line is above its host's limit in more than this many distinct documents and more than this share of them.
+#: A line is above its host's limit in more than this many distinct documents and, as short lines recur by chance, more
+#: than this share of them where it has fewer than LONG_LINE words.
 LINE_DOCUMENTS = 10
 LINE_SHARE = 0.005
+LONG_LINE = 20
 #: A document is depleted where less than this share of its words is left.
 LEFT_SHARE = 0.2
 #: Parts into which a frequent line's documents are dealt when its count meets them again.
@@ -76,11 +78,11 @@ def frequent_lines(lines: DataFrame, documents: int = LINE_DOCUMENTS, share: flo
 
     A line's documents are told apart by their longest other line, so that one long line shared by all doesn't hide them.
     """
-    each = lines.select("host", "mark", "next_mark", F.explode("lines").alias("line"))
+    each = lines.select("host", "mark", "next_mark", F.inline(F.arrays_zip("lines", "words")).alias("line", "words"))
     other = F.when(F.col("line") == F.col("mark"), F.col("next_mark")).otherwise(F.col("mark"))
-    counts = each.select("host", "line", other.alias("other")).groupBy("host", "line").agg(F.count_distinct("other").alias("n"))
+    counts = each.select("host", "line", "words", other.alias("other")).groupBy("host", "line", "words").agg(F.count_distinct("other").alias("n"))
     hosts = lines.filter(F.size("lines") > 0).groupBy("host").agg(F.count_distinct("mark", "next_mark").alias("of"))
-    return counts.filter(F.col("n") > documents).join(hosts, "host").filter(F.col("n") > share * F.col("of")).select("host", "line")
+    return counts.filter(F.col("n") > documents).join(hosts, "host").filter((F.col("words") >= LONG_LINE) | (F.col("n") > share * F.col("of"))).select("host", "line").distinct()
 
 
 def depletion(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:

@@ -112,3 +112,15 @@ def test_the_pipeline_takes_frequent_lines_out_of_kept_texts(spark):
     want = [(d, "\n".join(x for x in t.split("\n") if not x.startswith("Subscribe")), s) for (d, t, s), kept in zip(rows, plain_kept(rows)) if kept]
     got = sorted(map(tuple, found.collect()), key=order)
     assert got == sorted(want, key=order) and any("Subscribe" in (t or "") for _, t, _ in rows[:60])
+
+
+def test_long_lines_have_the_same_limit_in_large_hosts(spark):
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    passage, short = own(60), own(19)
+    rows = [(i, f"{passage}\n{own(8)}", "site") for i in range(11)] + [(100 + i, f"{passage}\n{own(8)}", "small") for i in range(10)]
+    rows += [(200 + i, f"{short}\n{own(40)}", "site") for i in range(11)] + [(1000 + i, own(55), "site") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in kept_documents(docs).collect()} == {r[0] for r in rows[11:]}
+    texts = {r.doc_id: r.text for r in without_frequent_lines(docs).collect()}
+    assert passage not in texts[0] and passage in texts[100] and short in texts[200]
