@@ -1,4 +1,5 @@
-"""Licence scan (operator 6): runs of lines compared with licence templates by Dice's coefficient over word bigrams.
+"""Licence scan (operator 6): runs of lines, and of words inside a line, compared with
+licence templates by Dice's coefficient over word bigrams.
 
 A template of b bigrams can only reach the coefficient t with a run of between t / (2 - t) * b and (2 - t) / t * b
 bigrams; runs of other sizes are never compared with it.
@@ -7,15 +8,16 @@ bigrams; runs of other sizes are never compared with it.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
-#: Lines of one run at most.
+#: Bounds the plain version in the tests only; a run has as many lines as it takes.
 MOST_LINES = 40
 
 # Notices and texts of common licences.
@@ -64,48 +66,85 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, first line, lines) of the best runs that don't overlap, by line.
 
-        A run begins and ends with a line that has part of a bigram of the template; others only dilute it.
+        A run of lines begins and ends with a line that has part of a bigram of the template; others only dilute it. Where
+        whole lines don't reach a template, runs of words inside one line do that begin and end with such a bigram.
         """
         lines = [normalised(x) for x in text.split("\n")]
         words = [w for x in lines for w in x]
-        shared = [(k, names) for k, pair in enumerate(zip(words, words[1:], strict=False)) if (names := self.owners.get(pair))]
+        pairs = list(zip(words, words[1:], strict=False))
         places: dict[str, list[int]] = {}
-        for k, names in shared:
-            for name in names:
+        for k, pair in enumerate(pairs):
+            for name in self.owners.get(pair, ()):
                 places.setdefault(name, []).append(k)
-        places = {name: at for name, at in places.items() if len(at) >= self.needed[name]}
+        places = {name: at for name, at in places.items() if len(at) >= self.needed[name] and len({pairs[k] for k in at}) >= self.needed[name]}
         if not places:
             return []
         line_of = [i for i, x in enumerate(lines) for _ in x]
-        found = []
+        first, last = {}, {}
+        for k, i in enumerate(line_of):
+            first.setdefault(i, k)
+            last[i] = k
+        before: dict[tuple[str, str], int] = {}
+        earlier = np.empty(len(pairs), np.int64)
+        for k, pair in enumerate(pairs):
+            earlier[k] = before.get(pair, -1)
+            before[pair] = k
+        whole, parts = [], []
         for name, at in places.items():
-            b, (low, high) = self.templates[name], self.sizes[name]
-            begins, ends = Counter(line_of[k] for k in at), {line_of[k + 1] for k in at}
-            for i in begins:
-                run: list[str] = []
-                hits = 0
-                for j in range(i, min(i + MOST_LINES, len(lines))):
-                    run += lines[j]
-                    hits += begins.get(j, 0)
-                    if len(run) - 1 > high and len(bigrams(run)) > high:
-                        break
-                    if len(run) > low and hits >= self.needed[name] and j in ends and len(seen := bigrams(run)) >= low and (d := dice(seen, b)) >= self.least:
-                        found.append((-d, i, j - i + 1, name))
+            begins = {first[line_of[k]] for k in at}
+            for a in begins | set(at):
+                b = self.templates[name]
+                new = self._new(earlier, a, int(self.sizes[name][1]) + 1)
+                hits, best, best_whole = 0, 0.0, 0.0
+                for n, k in enumerate(new, 1):
+                    if pairs[k] not in b:
+                        continue
+                    hits += 1
+                    d = 2 * hits / (n + len(b))
+                    if pairs[a] in b and d >= self.least and d > best:
+                        best = d
+                        parts.append((-d, a, k + 1, name))
+                    if a in begins:
+                        j = line_of[k + 1]
+                        m = bisect_left(new, last[j])
+                        d = 2 * (hits + sum(pairs[x] in b for x in new[n:m])) / (m + len(b))
+                        if d >= self.least and d > best_whole:
+                            best_whole = d
+                            whole.append((-d, line_of[a], j - line_of[a] + 1, name))
         taken: set[int] = set()
+        used: set[int] = set()
         out = []
-        for d, i, n, name in sorted(found):
+        parts.sort(key=lambda x: (x[0], x[1], x[2] - x[1], x[3]))
+        for d, i, n, name in sorted(whole):
             if taken.isdisjoint(range(i, i + n)):
                 taken.update(range(i, i + n))
-                out.append((name, -d, i, n))
-        return sorted(out, key=lambda x: x[2])
+                out.append((name, -d, i, n, first[i]))
+                # Words of these lines beside the template's own may hold another licence.
+                a, z = next(((a, z) for _, a, z, other in parts if other == name and first[i] <= a and z <= last[i + n - 1]), (first[i], last[i + n - 1]))
+                used.update(range(a, z + 1))
+        for d, a, z, name in parts:
+            if line_of[a] == line_of[z] and used.isdisjoint(range(a, z + 1)):
+                used.update(range(a, z + 1))
+                out.append((name, -d, line_of[a], 1, a))
+        return [x[:4] for x in sorted(out, key=lambda x: (x[2], x[4]))]
+
+    @staticmethod
+    def _new(earlier: np.ndarray, a: int, most: int) -> list[int]:
+        """Places from ``a`` on, ``most`` at most, of bigrams that don't stand between ``a`` and them."""
+        size = 2 * most
+        while True:
+            new = np.flatnonzero(earlier[a : a + size] < a)
+            if len(new) >= most or a + size >= len(earlier):
+                return (new[:most] + a).tolist()
+            size *= 2
 
 
 def licence_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = DICE) -> DataFrame:
     """(doc_id, n_licences, licences, best_dice, matches) by row of ``docs`` (doc_id, text; other columns are not read).
 
     ``licences`` joins the distinct names by comma; ``matches`` is an array of (licence, dice, line, lines), lines from
-    0. Null and empty texts match nothing: best_dice is 0. Of runs that overlap the best stays, ties to the earlier,
-    shorter, then by name. Repeated rows and null ids pass through; an empty table gives no rows.
+    0. Null and empty texts match nothing: best_dice is 0. Of runs that overlap the best stays, whole lines before words
+    inside lines, ties to the earlier, shorter, then by name. Repeated rows and null ids pass through; an empty table gives no rows.
     """
     templates = templates or TEMPLATES
     kinds = pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("line", pa.int32()), ("lines", pa.int32())])

@@ -52,3 +52,18 @@ def test_size_bounds_hold_at_the_threshold():
     for name, b in s.templates.items():
         low, high = s.sizes[name]
         assert abs(2 * low / (low + len(b)) - DICE) < 1e-9 and abs(2 * len(b) / (high + len(b)) - DICE) < 1e-9
+
+
+def test_runs_of_many_lines_and_inside_lines_are_found():
+    s = Scanner(TEMPLATES, DICE)
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    for name in ("MIT", "GPL-3.0", "BSD-2-Clause"):
+        w = TEMPLATES[name].split()
+        tall = "\n\n".join(w)
+        ((found, d, i, n),) = s.scan(f"{own(9)}\n{tall}\n{own(9)}")
+        assert (found, d, i) == (name, 1.0, 1) and MOST_LINES < n < 2 * len(w)
+        assert s.scan(f"{own(300)} {TEMPLATES[name]} {own(300)}") == [(name, 1.0, 0, 1)]
+    both = f"{own(50)} {TEMPLATES['MIT-line']} {own(50)} {TEMPLATES['CC-BY-NC-4.0-line']} {own(50)}"
+    assert [m[0] for m in s.scan(both)] == ["MIT-line", "CC-BY-NC-4.0-line"]
+    assert [m[0] for m in s.scan(f"{TEMPLATES['MIT']} {TEMPLATES['CC-BY-NC-4.0-line']}")] == ["MIT", "CC-BY-NC-4.0-line"]
