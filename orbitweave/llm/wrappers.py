@@ -260,16 +260,16 @@ def induce(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLAT
             for host, page, reference in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found = aligner.slots(page or "", reference or "")
                 mark = xxhash.xxh64_intdigest("\0".join(t for _, _, t in found)) - (1 << 63)
-                mine = {_key(slot, text) for slot, _, text in found}
+                mine = {None} | {_key(slot, text) for slot, _, text in found}  # None counts the page itself
                 hosts += [host] * len(mine)
                 keys += mine
                 marks += [mark] * len(mine)
             yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(marks, pa.int64())], ["host", "key", "mark"])
 
     seen = _with_wrapper(pages, references, ["host", "html", "reference"], size).mapInArrow(run, "host string, key long, mark long")
-    often = seen.groupBy("host", "key").agg(F.count_distinct("mark").alias("n")).filter(F.col("n") >= least)
-    total = pages.groupBy("host").agg(F.count_distinct(F.xxhash64("html")).alias("pages"))
-    constant = often.join(total, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
+    counts = durable(seen.groupBy("host", "key").agg(F.count_distinct("mark").alias("n")).filter((F.col("n") >= least) | F.col("key").isNull()))
+    total = counts.filter("key IS NULL").select("host", F.col("n").alias("pages"))
+    constant = counts.filter("key IS NOT NULL").join(total, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
     wrappers = durable(references.join(constant, "host", "left"))
     size = wrappers.agg(F.coalesce(F.sum(F.length("reference") + F.length("host") + 8 * F.greatest(F.size("template"), F.lit(0))), F.lit(0))).first()[0]
     return wrappers, size
@@ -285,8 +285,8 @@ def main_text(page: str, reference: str, template: frozenset[int], aligner: Alig
 def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) by row of ``pages`` (page_id, url, html; other columns are not read).
 
-    Null html counts as empty and gives an empty text. Pages without a host form a host of their own. Copies of a page
-    count once towards its template, so that copies don't make content constant. Repeated rows and null ids pass
+    Null html counts as empty and gives an empty text. Pages without a host form a host of their own. Pages of equal
+    texts count once towards its template, so that copies don't make content constant. Repeated rows and null ids pass
     through; an empty table gives no rows.
     """
     cut = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))

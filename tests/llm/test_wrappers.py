@@ -71,3 +71,10 @@ def test_pages_of_the_test_data(spark):
         article = re.search("<article>(.*?)</article>", page[r.page_id], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?p>|</?h1>", article))
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_pages_of_equal_texts_count_once_whatever_their_markup(spark):
+    page = lambda i, body: f'<body data-nonce="{i}"><div>{body}</div><div><p>Our constant notice</p></div></body>'
+    rows = [(i, "http://l.example/", page(i, "<p>Log in</p>")) for i in range(50)] + [(100 + i, "http://l.example/", page(i, f"<p>Text {i} of its own</p>")) for i in range(50)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "Log in" for i in range(50)} | {100 + i: f"Text {i} of its own" for i in range(50)}
