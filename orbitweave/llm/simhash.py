@@ -14,7 +14,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.llm.components import components
@@ -26,6 +26,8 @@ SEED = 42
 SAMPLE = 4096
 #: Members of a bucket that one task compares at once; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Edges that a task holds to tie them before it hands them on.
+TASK_EDGES = 1_000_000
 #: Signatures of one fingerprint on one part at most; plans beyond are too wide to generate.
 MOST_PROBES = 600
 #: Cost of shuffling one probe, in comparisons.
@@ -53,16 +55,21 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``, fp the fingerprint as a signed 64-bit number. Null text: as empty."""
+def _keyed(docs: DataFrame, words_per_shingle: int) -> DataFrame:
+    """(doc_id, key, fp) by row of ``docs``; key is the hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py(), words_per_shingle) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), words_per_shingle) for t in b.column(2)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long")
+
+
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) for each row of ``docs``, fp the fingerprint as a signed 64-bit number. Null text: as empty."""
+    return _keyed(docs, words_per_shingle).select("doc_id", "fp")
 
 
 def correlated_parts(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -130,11 +137,24 @@ def signatures(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     return fps.select("fp", F.explode(each).alias("s")).select("s.sig", "s.val", "fp")
 
 
+def _rooted(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Ties the sets of ``a`` and ``b``, place by place; ``label`` names the least place of each place's set."""
+    apart = label[a] != label[b]
+    a, b = a[apart], b[apart]
+    while len(a):
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(nxt := label[label], label):
+            label[:] = nxt
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+
+
 def _linker(distance: int):
     keys = ("sig", "val", "lo", "hi")
 
-    def settle(cols: list[np.ndarray], fp: np.ndarray) -> pa.RecordBatch | None:
-        """Spanning edges of the links inside each run of equal keys."""
+    def settle(cols: list[np.ndarray], fp: np.ndarray) -> np.ndarray:
+        """Spanning edges of the links inside each run of equal keys, as rows of two."""
         n = len(fp)
         label = np.arange(n)
         same = np.ones(n - 1, bool) if n else np.zeros(0, bool)
@@ -148,23 +168,24 @@ def _linker(distance: int):
             if not len(i):
                 break
             a, b = i, i + d
-            near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (label[a] != label[b])
-            a, b = a[near], b[near]
-            while len(a):
-                x, y = label[a], label[b]
-                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-                while not np.array_equal(nxt := label[label], label):
-                    label = nxt
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
+            near = (label[a] != label[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= distance)
+            _rooted(label, a[near], b[near])
             d += 1
         tied = np.flatnonzero((label != np.arange(n)) & (fp != fp[label]))
-        if not len(tied):
-            return None
-        return pa.record_batch([pa.array(fp[tied].view(np.int64)), pa.array(fp[label[tied]].view(np.int64))], ["u", "v"])
+        return np.stack([fp[tied], fp[label[tied]]], axis=1)
+
+    def stars(edges: list[np.ndarray]) -> pa.RecordBatch:
+        """The edges of a task as one star a component, so that what several buckets repeat leaves it once."""
+        nodes, places = np.unique(np.concatenate(edges).view(np.int64), return_inverse=True)
+        places = places.reshape(-1, 2)
+        label = np.arange(len(nodes))
+        _rooted(label, places[:, 0], places[:, 1])
+        tied = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.record_batch([pa.array(nodes[tied]), pa.array(nodes[label[tied]])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        edges: list[np.ndarray] = []
         for b in batches:
             if not b.num_rows:
                 continue
@@ -176,10 +197,14 @@ def _linker(distance: int):
                 last &= c == c[-1]
             cut = int(np.argmax(last))  # the last group may go on in the next batch
             held = [c[cut:] for c in cols]
-            if cut and (out := settle([c[:cut] for c in cols[:-1]], cols[-1][:cut].view(np.uint64))) is not None:
-                yield out
-        if held is not None and (out := settle(held[:-1], held[-1].view(np.uint64))) is not None:
-            yield out
+            if cut:
+                edges.append(settle([c[:cut] for c in cols[:-1]], cols[-1][:cut].view(np.uint64)))
+            if sum(map(len, edges)) > TASK_EDGES:
+                yield stars(edges)
+                edges = []
+        if held is not None:
+            edges.append(settle(held[:-1], held[-1].view(np.uint64)))
+            yield stars(edges)
 
     return run
 
@@ -188,7 +213,7 @@ def near_edges(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFra
     """Edges (u, v) between distinct fingerprints whose components are those of all pairs within ``distance`` bits.
 
     Every pair within ``distance`` is compared in some bucket; a bucket yields a spanning forest of its links, never
-    all its pairs. Buckets over ``block`` members are dealt out as pairs of hashed blocks, so no task holds more
+    all its pairs, and a task ties those of its buckets. Edges of different tasks may repeat. Buckets over ``block`` members are dealt out as pairs of hashed blocks, so no task holds more
     than about two blocks of one bucket.
     """
     total = fps.count()
@@ -202,7 +227,18 @@ def near_edges(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFra
         .select("sig", "val", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
     )
     keys = ["sig", "val", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(distance), "u long, v long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(distance), "u long, v long")
+
+
+def _kinds(own: DataFrame, distance: int) -> DataFrame:
+    """(fp, best, n, root) of each fingerprint of ``own`` (doc_id, key, fp).
+
+    best is the first of its rows by (id is null, id, key), n their number, root the least fingerprint of its component.
+    """
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best")
+    kinds = durable(own.groupBy("fp").agg(best, F.count("*").alias("n")))
+    roots = components(near_edges(kinds.select("fp"), distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return kinds.join(roots, "fp", "left").select("fp", "best", "n", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, words_per_shingle: int = 3, salts: int = 16) -> DataFrame:
@@ -213,16 +249,12 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words_per_shingle: int =
     and link like any other. Repeated rows stay; a null doc_id joins its component without naming it (a component of
     nulls only has a null id). An empty table gives no rows.
     """
-    own = durable(fingerprints(docs, words_per_shingle))
-    kinds = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
-    kinds = durable(kinds)
-    roots = components(near_edges(kinds.select("fp"), distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    linked = kinds.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    first = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("kinds"))
+    own = durable(_keyed(docs, words_per_shingle).select("doc_id", "key", "fp"))
+    linked = _kinds(own, distance)
+    first = linked.groupBy("root").agg(F.min("best").alias("first"), F.count("*").alias("kinds"))
     # A fingerprint that one row has, without links, needs no lookup: its component is that row.
-    shared = (
-        linked.join(kinds.select("fp", "n"), "fp").join(first, "root").filter("n > 1 or kinds > 1")
-        .select(F.col("fp").alias("shared_fp"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    shared = linked.join(first, "root").filter("n > 1 or kinds > 1").select(
+        F.col("fp").alias("shared_fp"), F.col("first.doc_id").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     )
     salted = own.withColumn("own_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     return salted.join(shared, (F.col("fp") == F.col("shared_fp")) & (F.col("own_salt") == F.col("salt")), "left").select(
@@ -233,12 +265,15 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words_per_shingle: int =
 
 
 def keep_one(docs: DataFrame, distance: int = 3, words_per_shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` that carry their component's smallest doc_id; one of them where that id repeats.
+    """One row of ``docs`` for each component, with all its columns.
 
-    Rows without a doc_id can't be named by it and all stay.
+    The row of smallest doc_id stays; rows without an id only where their component has no other. Of rows that agree in
+    it the one whose text has the smallest hash stays, of rows of one id and text one. Texts that are null or have no
+    words are a component. An empty table gives no rows. Columns of any name ride in a struct.
     """
-    found = near_duplicates(docs, distance, words_per_shingle)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    kept = docs.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn("__nth", F.row_number().over(once)).filter("__nth = 1")
-    return kept.drop("__nth").unionByName(docs.filter("doc_id is null"))
+    winners = _kinds(durable(_keyed(docs, words_per_shingle)), distance).groupBy("root").agg(F.min("best").alias("best"))
+    winners = winners.select(F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
+    # Equal rows meet in their task first, so that many copies of one row don't meet in one.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    rows = rows.groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(winners, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key")), "left_semi").select("row.*")

@@ -106,8 +106,14 @@ def test_plan_obeys_the_pigeonhole():
     assert thresholds != {0}  # the constant half of the bits isn't probed like the others
 
 
-def test_keep_one_leaves_one_of_each_group(spark):
-    rows = [(5, "a b c d e", "x"), (3, "a b c d e", "x"), (3, "a b c d e", "x"), (9, "other words are here now", "x"), (None, "a b c d e", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert sorted(str(r.doc_id) for r in keep_one(docs).collect()) == ["3", "9", "None"]
-    assert keep_one(docs).columns == docs.columns
+def test_keep_one_leaves_one_row_of_each_component(spark):
+    other, lone = "other words are here now", "quite another text with its own words in it"
+    rows = [(5, "a b c d e", "x"), (3, "a b c d e", "x"), (3, "a b c d e", "y"), (9, other, "x"), (None, "a b c d e", "x"), (9, lone, "x"), (None, None, "x"), (None, "", None), (None, " ", "x")]
+    names = ["row", "id", "key", "kept_id", "best_id", "best_key", "fp", "root", "lang"]
+    docs = spark.createDataFrame([(*r[:2], *[r[2]] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == 4 and {(3, "a b c d e"), (9, other), (9, lone)} < set(kept)
+    (nobody,) = [t for d, t in kept if d is None]
+    assert not (nobody or "").strip()
