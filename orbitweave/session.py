@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that all of them reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orbitweave-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -41,3 +45,16 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later stages survive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_file(spark: SparkSession, name: str, body: bytes) -> str:
+    """Writes ``body`` to the shared folder and has Spark hand the file to each executor; its name there, for ``SparkFiles``."""
+    name = f"{name}-{hashlib.sha256(body).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.bin"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(body)
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
