@@ -1,19 +1,19 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon (operator 3).
 
-Frequent words of the corpus, counted by Spark, are compiled into a minimal automaton whose arcs carry additive outputs:
-the sum along a word's path is its place in a table of token ids. The automaton is one file of 64-bit integers in the
-shared folder, which Spark hands to the executors and which they map into memory. Words that it lacks are merged exactly,
-by the tokenizer's own merge ranks.
+Frequent words of the corpus, counted by Spark, are compiled in tasks into minimal automata, one for the words of each
+shard of first characters, whose arcs carry additive outputs: the sum along a word's path is its place in a table of token
+ids. The automata are one file of 32-bit integers in the shared folder, which Spark hands to the executors and which they
+map into memory. Words that it lacks are merged exactly, by the tokenizer's own merge ranks.
 """
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,15 +22,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitweave.session import durable, shared_dir
+from orbitweave.session import durable, shared_file
 
 #: Words that the lexicon holds at most; bounds the automaton to a few MB at any corpus size.
 LEXICON_WORDS = 250_000
 #: Longest word, in characters, that the lexicon takes up.
 LEXICON_CHARS = 40
+#: Automata of the lexicon; a word is in the one that its first character after the blank names.
+SHARDS = 64
+#: Pretokens from this many bytes on are merged one by one with a heap, in n log n.
+LONG_PRETOKEN = 2048
 #: Distinct words that a task remembers before it starts afresh.
 REMEMBERED = 250_000
 #: Texts' bytes that a task encodes at once, and at least one text.
@@ -70,6 +74,7 @@ class Vocabulary:
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order
+        self.by_key: dict[int, int] | None = None
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -80,7 +85,53 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.ranks[at], len(self.keys))
 
     def merge(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of non-empty pretokens, all merged side by side: flat ids, and how many each has."""
+        """Token ids of non-empty pretokens: flat ids, and how many each has. Long ones are merged apart from the others."""
+        long = [i for i, p in enumerate(pretokens) if len(p) >= LONG_PRETOKEN]
+        if not long:
+            return self.merge_together(pretokens)
+        apart = {i: self.merge_long(pretokens[i]) for i in long}
+        ids, sizes = self.merge_together([p for i, p in enumerate(pretokens) if i not in apart])
+        parts, ends = iter(np.split(ids, np.cumsum(sizes))), range(len(pretokens))
+        found = [apart[i] if i in apart else next(parts) for i in ends]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def merge_long(self, pretoken: bytes) -> np.ndarray:
+        """Token ids of one pretoken: a heap holds its pairs by rank, then place, and neighbours are linked."""
+        ids = self.first[np.frombuffer(pretoken, np.uint8)]
+        ranks = np.append(self.rank_of(ids[:-1], ids[1:]), len(self.keys))
+        now, n, none = ranks.tolist(), len(ids), len(self.keys)
+        heap = [(r << 40) + i for i, r in enumerate(now) if r < none]
+        heapq.heapify(heap)
+        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.rank_by_key()
+
+        def meet(i: int) -> None:
+            j = after[i]
+            now[i] = rank.get(ids[i] << 20 | ids[j], none) if j < n else none
+            if now[i] < none:
+                heapq.heappush(heap, (now[i] << 40) + i)
+
+        while heap:
+            r, i = divmod(heapq.heappop(heap), 1 << 40)
+            if now[i] != r:  # the pair is gone
+                continue
+            j = after[i]
+            ids[i], ids[j], now[j] = int(self.merged[r]), -1, none
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            meet(i)
+            if before[i] >= 0:
+                meet(before[i])
+        return np.array([x for x in ids if x >= 0], np.int64)
+
+    def rank_by_key(self) -> dict[int, int]:
+        if self.by_key is None:
+            self.by_key = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        return self.by_key
+
+    def merge_together(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`merge` of pretokens side by side."""
         none, sizes = len(self.keys), np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         ids = self.first[np.frombuffer(b"".join(pretokens), np.uint8)]
         own = np.repeat(np.arange(len(pretokens)), sizes)
@@ -172,11 +223,11 @@ def compile_lexicon(words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> n
     sized = np.asarray(sizes, np.int64)[order] if order else np.zeros(0, np.int64)
     flat = np.concatenate([ids[offsets[i] : offsets[i + 1]] for i in order]) if order else np.zeros(0, np.int64)
     head = [len(states), len(keys), len(words), len(flat)]
-    return np.concatenate([np.asarray(x, np.int64) for x in (head, [f for f, _ in states], keys, targets, outputs, np.cumsum(sized), flat)])
+    return np.concatenate([np.asarray(x, np.int32) for x in (head, [f for f, _ in states], keys, targets, outputs, np.cumsum(sized), flat)])
 
 
-class Lexicon:
-    """A compiled transducer; ``data`` may be a memory map."""
+class Automaton:
+    """A compiled transducer; ``data`` may be a part of a memory map."""
 
     def __init__(self, data: np.ndarray):
         self.states, arcs, words, flat = map(int, data[:4])
@@ -201,15 +252,49 @@ class Lexicon:
             live, state, total = live[~end], state[~end], total[~end]
             if not len(live):
                 break
-            key = state * 256 + flat[starts[live] + depth]
+            key = (state * 256 + flat[starts[live] + depth]).astype(np.int32)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             on = self.keys[at] == key
             live, at = live[on], at[on]
-            state, total = self.targets[at], total[on] + self.outputs[at]
+            state, total = self.targets[at].astype(np.int64), total[on] + self.outputs[at]
             depth += 1
         return place
 
 
+def shard_of(word: str) -> int:
+    """The automaton of a word that begins with a blank."""
+    return ord(word[1]) % SHARDS if len(word) > 1 else 0
+
+
+class Lexicon:
+    """The automata of a file of :func:`lexicon_file`; ``data`` may be a memory map."""
+
+    def __init__(self, data: np.ndarray):
+        n = int(data[0])
+        ends = np.cumsum(data[1 + n : 1 + 2 * n].astype(np.int64)) + 1 + 2 * n
+        starts = ends - data[1 + n : 1 + 2 * n]
+        self.parts = {int(s): Automaton(data[a:z]) for s, a, z in zip(data[1 : 1 + n], starts, ends, strict=True)}
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words that the lexicon has: their places in ``words``, their flat ids, and how many ids each has."""
+        shards = np.fromiter(map(shard_of, words), np.int64, len(words))
+        none = np.zeros(0, np.int64)
+        found, ids, sizes = [none], [none], [none]
+        for shard in np.unique(shards).tolist():
+            if (part := self.parts.get(shard)) is None:
+                continue
+            mine = np.flatnonzero(shards == shard)
+            place = part.find([words[i].encode() for i in mine])
+            mine, place = mine[place >= 0], place[place >= 0]
+            if len(mine):
+                stop = part.ends[place].astype(np.int64)
+                start = np.where(place > 0, part.ends[place - 1], 0).astype(np.int64)
+                found.append(mine)
+                ids.append(part.ids[spread(start, stop - start)].astype(np.int64))
+                sizes.append(stop - start)
+        return np.concatenate(found), np.concatenate(ids), np.concatenate(sizes)
+
+
 class Encoder:
     """Encodes texts by lexicon, memory of what it met, and exact merging."""
 
@@ -227,16 +312,11 @@ class Encoder:
             self.sizes.append(np.array([1]))
 
     def learn(self, words: list[str]) -> None:
-        coded = [w.encode() for w in words]
-        place = self.lexicon.find(coded) if self.lexicon is not None else np.full(len(words), -1)
-        known = np.flatnonzero(place >= 0)
-        rest = np.flatnonzero(place < 0)
+        known, ids, sizes = self.lexicon.find(words) if self.lexicon is not None else (np.zeros(0, np.int64),) * 3
+        rest = np.setdiff1d(np.arange(len(words)), known)
         if len(known):
-            ends = self.lexicon.ends
-            stop = ends[place[known]]
-            start = np.where(place[known] > 0, ends[place[known] - 1], 0)
-            self.ids.append(self.lexicon.ids[spread(start, stop - start)])
-            self.sizes.append(stop - start)
+            self.ids.append(ids)
+            self.sizes.append(sizes)
         if len(rest):
             ids, sizes = self.vocabulary.words([words[i] for i in rest])
             self.ids.append(ids)
@@ -279,38 +359,51 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts (with the blank before them): all down to some count, ``most`` at most."""
+def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
+    """(shard, word): the most frequent words of all texts, with the blank before them; ``most`` at most.
+
+    They are all words down to some count, chosen on steps of counts, of which there are a few hundred at most.
+    """
     word = F.explode(F.split("text", " ")).alias("word")
     counts = docs.select(word).filter(F.length("word").between(1, LEXICON_CHARS)).groupBy("word").count()
-    counts = durable(counts.filter("count > 1"))
-    # The least count that lets at most ``most`` words through, so that only those reach the driver.
-    left, least = most, 2
-    for r in counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).limit(most + 1).collect():
+    counts = durable(counts.filter("count > 1").withColumn("step", F.floor(8 * F.log2("count")).cast("int")))
+    left, least = most, 0
+    for r in counts.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
         if r.words > left:
-            least = r["count"] + 1
+            least = r.step + 1
             break
         left -= r.words
-    return sorted(" " + r.word for r in counts.filter(F.col("count") >= least).select("word").collect() if WORD.fullmatch(" " + r.word))
+    return counts.filter(F.col("step") >= least).select(F.pmod(F.ascii("word"), F.lit(SHARDS)).alias("shard"), F.concat(F.lit(" "), "word").alias("word"))
+
+
+@lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> Vocabulary:
+    """The vocabulary of a file, read once a process."""
+    return Vocabulary(path)
+
+
+def compiled(words: DataFrame, path: str) -> DataFrame:
+    """(shard, body) of the shards of :func:`frequent_words`: each task compiles the automata of its shards.
+
+    A shard has LEXICON_WORDS words at most. What the splitting into words would not give is left out.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        found = sorted(w for w in part.column("word").to_pylist() if WORD.fullmatch(w))
+        body = compile_lexicon([w.encode() for w in found], *vocabulary_of(path).words(found))
+        return pa.table({"shard": part.column("shard").slice(0, 1), "body": pa.array([body.tobytes()], pa.binary())})
+
+    return words.groupBy("shard").applyInArrow(run, "shard int, body binary")
 
 
-def share_lexicon(spark: SparkSession, data: np.ndarray) -> str:
-    """Writes a compiled lexicon to the shared folder and has Spark hand it to each executor; returns its name."""
-    body = data.tobytes()
-    name = f"lexicon-{hashlib.sha256(body).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}.bin"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    try:
-        out.write(body)
-    finally:
-        out.close()
-    spark.sparkContext.addFile(path.toString())
-    return name
+def lexicon_file(parts: list[tuple[int, bytes]]) -> bytes:
+    """The shards' number, their names, their sizes in integers, and their automata."""
+    head = [len(parts), *(s for s, _ in parts), *(len(b) // 4 for _, b in parts)]
+    return np.array(head, np.int32).tobytes() + b"".join(b for _, b in parts)
 
 
 def _encoder(vocabulary_path: str, lexicon_name: str) -> Encoder:
-    return Encoder(Vocabulary(vocabulary_path), Lexicon(np.memmap(SparkFiles.get(lexicon_name), np.int64, "r")))
+    return Encoder(vocabulary_of(vocabulary_path), Lexicon(np.memmap(SparkFiles.get(lexicon_name), np.int32, "r")))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -335,9 +428,9 @@ def _texts(ids: np.ndarray, ends: np.ndarray, table: list[bytes]) -> list[str]:
 
 
 def _lexicon_of(docs: DataFrame, path: str, lexicon_words: int) -> str:
-    """Compiles and shares the lexicon of ``docs``' frequent words; returns its name."""
-    words = frequent_words(docs, lexicon_words)
-    return share_lexicon(docs.sparkSession, compile_lexicon([w.encode() for w in words], *Vocabulary(path).words(words)))
+    """Compiles and shares the lexicon of ``docs``' frequent words; returns its name. The driver meets finished automata only."""
+    parts = compiled(frequent_words(docs, lexicon_words), path).orderBy("shard").collect()  # SHARDS rows, some MB
+    return shared_file(docs.sparkSession, "lexicon", lexicon_file([(r.shard, bytes(r.body)) for r in parts]))
 
 
 def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -368,7 +461,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
         for b in batches:
-            table = table or Vocabulary(path).bytes_of
+            table = table or vocabulary_of(path).bytes_of
             texts = []
             for ids in b.column(1):
                 texts += _texts(ids.values.to_numpy(), np.array([0, len(ids)]), table) if ids.is_valid else [None]
@@ -386,7 +479,7 @@ def round_trip(docs: DataFrame, path: str | None = None, lexicon_words: int = LE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
         for part, ids, ends in _chunks(batches, path, name):
-            table = table or Vocabulary(path).bytes_of
+            table = table or vocabulary_of(path).bytes_of
             yield pa.record_batch(
                 [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(_texts(ids, ends, table), pa.string())], ["doc_id", "ids", "text"]
             )

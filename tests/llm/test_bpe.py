@@ -8,20 +8,28 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from orbitweave.llm.bpe import Encoder, Lexicon, Vocabulary, compile_lexicon, decode, encode, encoded_digests
+from orbitweave.llm.bpe import LONG_PRETOKEN, SHARDS, Automaton, Encoder, Lexicon, Vocabulary, compile_lexicon, decode, encode, encoded_digests, frequent_words, lexicon_file, shard_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY = Vocabulary(PATH)
 LIBRARY = Tokenizer.from_file(PATH)
 
 
+def automaton(words):
+    return Automaton(compile_lexicon([w.encode() for w in words], *VOCABULARY.words(words)))
+
+
 def lexicon(words):
-    return Lexicon(compile_lexicon([w.encode() for w in words], *VOCABULARY.words(words)))
+    shards = {}
+    for w in words:
+        shards.setdefault(shard_of(w), []).append(w)
+    body = lexicon_file([(s, compile_lexicon([w.encode() for w in ws], *VOCABULARY.words(ws)).tobytes()) for s, ws in sorted(shards.items())])
+    return Lexicon(np.frombuffer(body, np.int32))
 
 
 @pytest.mark.parametrize("words", [[], [" a"], [" the", " then", " other", " mother", " été", " bother", "\n"]])
 def test_transducer_finds_its_words_only(words):
-    lex = lexicon(words)
+    lex = automaton(words)
     found = lex.find([w.encode() for w in words] + [b"", b" th", b" thenx", b"zzz"])
     assert sorted(found[: len(words)]) == list(range(len(words)))
     assert (found[len(words) :] == -1).all()
@@ -32,7 +40,7 @@ def test_transducer_finds_its_words_only(words):
 
 def test_transducer_is_minimal():
     words = [a + b for a in ("x", "y", "z") for b in ("ing", "ed", "")]
-    assert lexicon(words).states == 6  # root, after x/y/z, i, in, e and the end: suffixes are shared
+    assert automaton(words).states == 6  # root, after x/y/z, i, in, e and the end: suffixes are shared
 
 
 TEXT = st.text(alphabet=st.sampled_from(list("abcdeé ÀÉ\t\n\r '’st12٣½.,!?  　\x1c\x85漢字🙂​")), max_size=60)
@@ -48,6 +56,31 @@ def test_encodes_as_the_library_does(texts):
             assert ids[end - n : end].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
+def test_lexicon_of_shards_finds_each_word_with_its_ids():
+    words = [" the", " then", " été", " 漢字", " 🙂", " x" * 2, "\n"]
+    others = [" th", "", " zebra", "the"]
+    known, ids, sizes = lexicon(words).find(others + words)
+    assert sorted(known.tolist()) == [i + len(others) for i in range(len(words))]
+    for i, part in zip(known, np.split(ids, np.cumsum(sizes))):
+        assert part.tolist() == LIBRARY.encode((others + words)[i], add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000 + "the" * 900, "".join(random.Random(1).choice("etaoinshr") for _ in range(9000)), "é" * 4000 + " " + "x" * 2048])
+def test_long_runs_merge_as_in_the_library(text):
+    assert len(text) >= LONG_PRETOKEN
+    ids, counts = Encoder(VOCABULARY, None).encode(["short", text, "the end"])
+    assert ids[counts[0] : counts[0] + counts[1]].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_frequent_words_are_the_most_frequent_and_know_their_shard(spark):
+    texts = ["a a a a b b b c c 漢 漢 🙂 🙂 été été zz"] * 3
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    found = {r.word: r.shard for r in frequent_words(docs, 100).collect()}
+    assert set(found) == {" a", " b", " c", " 漢", " 🙂", " été", " zz"}
+    assert all(s == shard_of(w) < SHARDS for w, s in found.items())
+    assert {r.word for r in frequent_words(docs, 2).collect()} == {" a", " b"}
+
+
 def test_digests_and_round_trip(spark):
     rng = random.Random(3)
     texts = [None, "", " ", "<|endoftext|>", "aaaa" * 9000, "the cat\n\n  sat", "x" * 3 + "é" * 50]
