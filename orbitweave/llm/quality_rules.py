@@ -1,8 +1,7 @@
 """Quality rules by cross-document line frequency (operator 5), in DataFrame functions only.
 
 Normalised lines are hashed and counted by distinct documents of their host; lines above the host's limit count as
-removed, and a document that they deplete is rejected. Copies don't make each other's lines frequent: for a line,
-documents that agree in the longest of their other lines count as one.
+removed, and a document that they deplete is rejected. Documents of one text are one document.
 """
 
 from __future__ import annotations
@@ -56,32 +55,17 @@ def normalised_lines(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_key, mark, next_mark, lines, words) by row: each line's hash and its words.
-
-    mark and next_mark are the hashes of the two longest distinct lines; without a second, next_mark is that of null.
-    """
+    """(doc_id, host, text_key, lines, words) by row: each line's hash and its words."""
     cut = docs.select("doc_id", _host("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), normalised_lines(F.col("text")).alias("texts"))
-    longest = lambda texts: F.array_max(F.transform(texts, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
-    cut = cut.withColumn("longest", longest("texts"))
     n_words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    return cut.select(
-        "doc_id", "host", "text_key",
-        F.xxhash64("longest").alias("mark"),
-        F.xxhash64(longest(F.filter("texts", lambda x: x != F.col("longest")))).alias("next_mark"),
-        F.transform("texts", lambda x: F.xxhash64(x)).alias("lines"),
-        F.transform("texts", n_words).alias("words"),
-    )
+    return cut.select("doc_id", "host", "text_key", F.transform("texts", lambda x: F.xxhash64(x)).alias("lines"), F.transform("texts", n_words).alias("words"))
 
 
 def frequent_lines(lines: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, line) of the lines above their host's limit, from :func:`lines_of`.
-
-    A line's documents are told apart by their longest other line, so that one long line shared by all doesn't hide them.
-    """
-    each = lines.select("host", "mark", "next_mark", F.inline(F.arrays_zip("lines", "words")).alias("line", "words"))
-    other = F.when(F.col("line") == F.col("mark"), F.col("next_mark")).otherwise(F.col("mark"))
-    counts = each.select("host", "line", "words", other.alias("other")).groupBy("host", "line", "words").agg(F.count_distinct("other").alias("n"))
-    hosts = lines.filter(F.size("lines") > 0).groupBy("host").agg(F.count_distinct("mark", "next_mark").alias("of"))
+    """(host, line) of the lines above their host's limit, from :func:`lines_of`. Documents are told apart by text_key."""
+    each = lines.select("host", "text_key", F.inline(F.arrays_zip("lines", "words")).alias("line", "words"))
+    counts = each.groupBy("host", "line", "words").agg(F.count_distinct("text_key").alias("n"))
+    hosts = lines.filter(F.size("lines") > 0).groupBy("host").agg(F.count_distinct("text_key").alias("of"))
     return counts.filter(F.col("n") > documents).join(hosts, "host").filter((F.col("words") >= LONG_LINE) | (F.col("n") > share * F.col("of"))).select("host", "line").distinct()
 
 
@@ -121,40 +105,37 @@ def quality_rules(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float
     )
 
 
-def kept_documents(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """The rows of ``docs`` that pass, as they are; rows that agree in doc_id are judged one by one."""
-    keyed = docs.withColumn("__host", _host("source")).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    good = _judged(docs, documents, share, left_share).filter("kept")
-    good = good.select(F.col("doc_id").alias("good_id"), F.col("host").alias("good_host"), F.col("text_key").alias("good_text"))
-    same = F.col("doc_id").eqNullSafe(F.col("good_id")) & (F.col("__host") == F.col("good_host")) & (F.col("__text") == F.col("good_text"))
-    return keyed.join(good, same, "left_semi").select(*docs.columns)
-
+def _kept(docs: DataFrame, found: DataFrame, reject: bool, remove: bool) -> DataFrame:
+    """The rows of ``docs`` by what was ``found`` of them (doc_id, host, text_key, removed_lines).
 
-def _with_rest(columns: list[str]) -> list[Column]:
-    """``columns``, text without the lines whose hashes are in removed_lines; as it is where there are none."""
+    The caller's columns ride in one struct, so that no name of theirs can clash.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), _host("source").alias("of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    found = found.select("doc_id", "host", "text_key", "removed_lines").dropDuplicates(["doc_id", "host", "text_key"])
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("host")) & (F.col("key") == F.col("text_key"))
+    met = rows.join(found, same, "inner" if reject else "left")
     flat = lambda x: F.btrim(F.regexp_replace(F.lower(x), r"[ \t\x0B\f\r]+", " "), F.lit(" "))
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed_lines", F.xxhash64(flat(x)))), "\n")
-    return [F.when(F.size("removed_lines") > 0, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns]
+    rest = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x: ~F.array_contains("removed_lines", F.xxhash64(flat(x)))), "\n")
+    text = F.when(F.size("removed_lines") > 0, rest).otherwise(F.col("row.text")).alias("text")
+    return met.select(*[text if c == "text" and remove else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def kept_documents(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """The rows of ``docs`` that pass, as they are, with all their columns.
+
+    Rows that agree in doc_id are judged one by one. Null texts count as empty and don't pass; an empty table gives no rows.
+    """
+    return _kept(docs, _judged(docs, documents, share, left_share).filter("kept"), reject=True, remove=False)
 
 
 def without_frequent_lines(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """The rows of ``docs`` with the lines above their host's limit taken out of the texts."""
-    keyed = docs.withColumn("__host", _host("source")).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lost = depletion(docs, documents, share).filter("removed > 0").select(
-        F.col("doc_id").alias("__id"), F.col("host").alias("__lost_host"), F.col("text_key").alias("__lost_key"), "removed_lines"
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__host") == F.col("__lost_host")) & (F.col("__key") == F.col("__lost_key"))
-    return keyed.join(lost, same, "left").select(*_with_rest(docs.columns))
+    """The rows of ``docs`` with the lines above their host's limit taken out of the texts; null texts stay null."""
+    return _kept(docs, depletion(docs, documents, share).filter("removed > 0"), reject=False, remove=True)
 
 
 def cleaned_documents(docs: DataFrame, documents: int = LINE_DOCUMENTS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
     """:func:`kept_documents` with the lines above their host's limit taken out of the texts; lines are counted once for both."""
-    keyed = docs.withColumn("__host", _host("source")).withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    good = _judged(docs, documents, share, left_share).filter("kept")
-    good = good.select(F.col("doc_id").alias("__id"), F.col("host").alias("__good_host"), F.col("text_key").alias("__good_key"), "removed_lines")
-    good = good.dropDuplicates(["__id", "__good_host", "__good_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__host") == F.col("__good_host")) & (F.col("__key") == F.col("__good_key"))
-    return keyed.join(good, same).select(*_with_rest(docs.columns))
+    return _kept(docs, _judged(docs, documents, share, left_share).filter("kept"), reject=True, remove=True)
 
 
 #: The same query for DuckDB.
@@ -164,10 +145,10 @@ w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\x0c\\r]+
 p AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(words) - 2), lambda i: {{'i': i, 'g': words[i:i+2]}})) AS x FROM w WHERE len(words) >= 3),
 r AS (SELECT doc_id, x.i AS i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, x.g) > 1),
 n AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM r) GROUP BY doc_id),
-l AS (SELECT doc_id, host, list_filter(list_transform(string_split(regexp_replace(lower(text), '[ \\t\\x0b\\x0c\\r]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM d),
-e AS (SELECT doc_id, host, list_max(list_transform(lines, lambda x: {{'n': length(x), 'l': x}})).l AS mark, unnest(lines) AS line FROM l),
-h AS (SELECT host, count(DISTINCT mark) AS docs FROM e GROUP BY host),
-f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT mark) AS n FROM e GROUP BY host, line) JOIN h USING (host) WHERE n > {LINE_DOCUMENTS} AND n > {LINE_SHARE} * docs),
+l AS (SELECT doc_id, host, text, list_filter(list_transform(string_split(regexp_replace(lower(text), '[ \\t\\x0b\\x0c\\r]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM d),
+e AS (SELECT doc_id, host, text, unnest(lines) AS line FROM l),
+h AS (SELECT host, count(DISTINCT text) AS docs FROM e GROUP BY host),
+f AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM e GROUP BY host, line) JOIN h USING (host) WHERE n > {LINE_DOCUMENTS} AND (len(string_split(line, ' ')) >= {LONG_LINE} OR n > {LINE_SHARE} * docs)),
 q AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS words, sum(CASE WHEN f.line IS NULL THEN 0 ELSE len(string_split(line, ' ')) END) AS removed FROM e LEFT JOIN f USING (host, line) GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\x0c\\r]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\x0c\\r]')))) AS n_dup_lines,

@@ -5,7 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from orbitweave.llm import textstats
-from orbitweave.llm.quality_rules import kept_documents, quality_rules, without_frequent_lines
+from orbitweave.llm.quality_rules import cleaned_documents, kept_documents, quality_rules, without_frequent_lines
 
 
 def plain_counts(text):
@@ -21,18 +21,18 @@ def plain_counts(text):
 
 def plain_kept(rows, documents=10, share=0.005, left_share=0.2):
     norm = lambda t: [y for y in (re.sub(r"[ \t\x0b\f\r]+", " ", x).strip(" ") for x in (t or "").lower().split("\n")) if y]
-    marks, hosts = defaultdict(set), defaultdict(set)
+    within, hosts = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
         if lines := norm(t):
-            mark = max(lines, key=lambda x: (len(x), x.encode()))
-            hosts[s or ""].add(mark)
+            hosts[s or ""].add(t)
             for x in lines:
-                marks[s or "", x].add(mark)
+                within[s or "", x].add(t)
+    above = lambda host, x: (k := len(within[host, x])) > documents and (len(x.split(" ")) >= 20 or k > share * len(hosts[host]))
     out = []
     for _, t, s in rows:
         n, *_, rep = plain_counts(t)
         words = sum(len(x.split(" ")) for x in norm(t))
-        gone = sum(len(x.split(" ")) for x in norm(t) if (k := len(marks[s or "", x])) > documents and k > share * len(hosts[s or ""]))
+        gone = sum(len(x.split(" ")) for x in norm(t) if above(s or "", x))
         out.append(not (n < 50 or 100 * rep > 50 * n) and (not words or 1 - gone / words >= left_share))
     return out
 
@@ -43,8 +43,8 @@ def corpus():
     banner = "Subscribe  NOW to our letter and never miss a thing " + " ".join(f"b{i}" for i in range(45))
     rows = [(i, f"{own(60)}\n{own(30)} #a\n{banner}\n", "site" if i % 3 else None) for i in range(60)]
     rows += [(100 + i, f"{banner}\n{own(8)}", "site") for i in range(3)]  # depleted
-    copy = own(80) + "\n" + own(70)
-    rows += [(200 + i, copy, "site") for i in range(40)] + [(300 + i, copy + f"\n{i}", "site") for i in range(40)]
+    copy, page = own(80) + "\n" + own(70), own(80) + "\n" + own(70)
+    rows += [(200 + i, copy, "site") for i in range(40)] + [(300 + i, page + f"\n{i}", "site") for i in range(40)]  # one text; 40 texts with the same lines
     rows += [(400, None, "site"), (401, "", None), (402, " \n \t", "x"), (403, "a b c " * 4000, "x"), (404, own(30) + "\n" + own(30), "x"), (404, own(70), "x")]
     rows += [(None, own(99), "x"), (405, own(20000), "x"), (406, "one two three four " + own(50) + " one two three", "x")]
     rows += [rows[-1]] * 3
@@ -58,7 +58,7 @@ def test_counts_and_verdicts_match_plain(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.kept) for r in quality_rules(docs).collect())
     assert got == want
     by_id = {r[0]: r[-1] for r in want}
-    assert not by_id[100] and by_id[1] and by_id[200] and by_id[310]
+    assert not by_id[100] and by_id[1] and by_id[200] and not by_id[310]
     kept = sorted(r.doc_id if r.doc_id is not None else -1 for r in kept_documents(docs).select("doc_id").collect())
     assert kept == sorted(w[0] for w in want if w[-1])
     assert kept_documents(docs).columns == docs.columns
@@ -91,6 +91,28 @@ def test_empty_table(spark):
     assert kept_documents(docs).collect() == []
 
 
+def test_a_banner_that_is_most_of_each_document_rejects_them(spark):
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    banner, footer = own(300), own(90)
+    rows = [(i, f"{banner}\n{own(12)}\n{own(12)}\n{footer}", "site") for i in range(200)] + [(1000 + i, own(60), "site") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in kept_documents(docs).collect()} == {1000 + i for i in range(20)}
+    assert all(banner not in r.text and footer not in r.text for r in without_frequent_lines(docs).collect())
+
+
+def test_columns_of_any_name_ride_along(spark):
+    rng = random.Random(5)
+    names = ["row", "id", "of", "key", "host", "text_key", "removed_lines", "kept", "n", "words", "removed", "good_id", "__id", "left_share", "salt", "part"]
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(60)), "s", *range(len(names))) for i in range(5)] + [(9, None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    for f, n in ((kept_documents, 5), (cleaned_documents, 5), (without_frequent_lines, 6)):
+        got = f(docs)
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == sorted(rows[:n])
+    assert quality_rules(docs).count() == 6
+
+
 def test_a_long_shared_line_does_not_hide_its_documents(spark):
     rng = random.Random(7)
     own = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
