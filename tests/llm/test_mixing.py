@@ -1,34 +1,53 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orbitweave.llm.mixing import DOMAINS, fit_rates, mixed, mixture, rate_after
 from orbitweave.session import durable
 
 
-def plain_rates(p, tokens, share, total, rounds=15):
+def plain_rates(p, steps):
+    rate = lead = np.ones(len(p))
+    for s in steps:
+        before, rate = rate, np.maximum(0, lead - p @ np.array(s.gradient))
+        lead = rate + s.momentum * (rate - before)
+    return rate
+
+
+def plain_descent(p, tokens, share, total, rounds):
+    """Plain projected gradient, by the step 1, for as long as it takes."""
     have = p.T @ tokens
     r = np.ones(len(p))
     for _ in range(rounds):
-        g = np.where(have > 0, (p.T @ (tokens * r) - share * total) / np.where(have > 0, have, 1), 0)
-        r = np.maximum(0, r - p @ g)
+        r = np.maximum(0, r - p @ ((p.T @ (tokens * r) - share * total) / have))
     return r
 
 
-def test_rates_match_plain_descent_and_meet_targets(spark):
+@pytest.mark.parametrize("spread", [0.05, 0.3])
+def test_rates_fit_at_least_as_well_as_a_long_plain_descent(spark, spread):
     rng = np.random.default_rng(3)
-    p = np.round(rng.dirichlet([0.05] * 4, 300), 6)
+    p = np.round(rng.dirichlet([spread] * 4, 300), 6)
     tokens = rng.integers(1, 500, 300)
     df = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p)], "__tokens long, __posterior array<double>")
     targets = {"sound": 0.6, "poor": 0.3, "poor_toxic": 0.1}
-    history = fit_rates(df, targets, rounds=15)
-    got = np.array([r.r for r in durable(df).select(rate_after(history, F.col("__posterior")).alias("r")).collect()])
-    share = np.array([targets.get(d, 0) for d in DOMAINS])
-    want = plain_rates(p, tokens, share, float((p.T @ tokens).sum()))
-    assert (got >= 0).all()
-    miss = lambda r: np.abs(p.T @ (tokens * r) - share * (p.T @ tokens).sum()) / (p.T @ tokens)
-    assert np.allclose(got, want, atol=1e-9) and miss(got)[share > 0].max() < 0.05
+    fit = fit_rates(df, targets, rounds=60)
+    got = np.array([r.r for r in durable(df).select(rate_after(fit.steps, F.col("__posterior")).alias("r")).collect()])
+    assert (got >= 0).all() and np.allclose(got, plain_rates(p, fit.steps), atol=1e-9)
+    share, have = np.array([targets.get(d, 0) for d in DOMAINS]), p.T @ tokens
+    miss = lambda r: (p.T @ (tokens * r) - share * have.sum()) / have
+    assert abs(np.abs(miss(got)).max() - fit.residual) < 1e-9
+    assert (miss(got) ** 2).sum() < (miss(plain_descent(p, tokens, share, have.sum(), 60)) ** 2).sum() + 1e-6
+    assert fit.residual < 0.05
+
+
+def test_rounds_that_do_not_suffice_are_told(spark):
+    p = np.round(np.random.default_rng(4).dirichlet([1.0] * 4, 200), 6)
+    df = spark.createDataFrame([(10, [float(x) for x in row]) for row in p], "__tokens long, __posterior array<double>")
+    with pytest.warns(UserWarning, match="did not settle in 3 rounds"):
+        fit = fit_rates(df, {"sound": 1.0}, rounds=3)
+    assert not fit.settled and fit.residual > 0.1
 
 
 def corpus(spark):
@@ -71,6 +90,16 @@ def test_mixed_keeps_columns_and_the_whole_domain(spark):
     assert {i for i in range(300) if i % 4 and i % 5} <= ids
 
 
+def test_columns_of_any_name_ride_along(spark):
+    docs, labels, rows = corpus(spark)
+    names = ["row", "copy", "__tokens", "__posterior", "__looks", "__words", "__copies", "domain", "tokens", "at"]
+    wide = docs.select("doc_id", "text", *[F.lit(n).alias(n) for n in names])
+    out = mixed(wide, labels, whole="sound")
+    assert out.columns == wide.columns
+    assert sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(map(str, (r.doc_id for r in mixed(docs, labels, whole="sound").collect())))
+    assert mixture(wide, labels).count() == len(rows)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
