@@ -1,26 +1,29 @@
 """Exact top-k inner products by length buckets (operator 1).
 
-Vectors are ordered by length and packed into buckets of similar length. A block of queries meets the buckets of a group
-in falling length; the k-th score so far bounds the cosine that a bucket's vectors must exceed. Above one the bucket is
-skipped, high bounds search sorted coordinate lists for the candidates, low ones take all that are long enough; products
-are then verified.
+Vectors are ordered by length and packed into buckets of similar length, which stay where they are. The queries come to
+them, in rounds of bounded size, as a file that each executor maps into memory. The longest buckets give each query a first
+bound; then each task meets its buckets in falling length. The k-th score so far bounds the cosine that a bucket's vectors
+must exceed: above one the bucket is skipped, high bounds search sorted coordinate lists for the candidates, low ones take
+all that are long enough; products are then verified. Only scores that reach a query's bound leave a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitweave.session import durable
+from orbitweave.session import durable, shared_file
 
 #: Vectors of a bucket at most, and the least ratio of its lengths; queries of a block at most.
 BUCKET_ROWS, BUCKET_RATIO, QUERY_ROWS = 4096, 0.9, 2048
-#: Buckets that a block of queries meets one after the other, with the bounds found so far.
-GROUP_BUCKETS = 8
+#: Bytes of queries that meet the buckets in one round, about; and the longest buckets, which give the first bounds.
+ROUND_BYTES, SEED_BUCKETS = 16_000_000, 4
 #: From this cosine bound on, sorted coordinate lists pay; and the coordinates looked at.
 COORDINATE_FROM, FOCUS = 0.75, 3
 
@@ -31,10 +34,10 @@ def whole_numbers(vector: Column, scale: float = 256.0) -> Column:
 
 
 def _taken(vectors: DataFrame, scale: float) -> DataFrame:
-    """(vec_id, v, length) of the vectors that take part, one for each vec_id: the least, where rows differ."""
+    """(vec_id, v, length) of the rows that take part."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad))
-    v = good.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    v = good.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v"))
     return v.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
 
 
@@ -74,15 +77,15 @@ def _unpacked(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray
 
 
 class Search:
-    """The k best so far of a block of queries."""
+    """The k best so far of a block of queries, of those that reach ``least``."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray):
+        self.ids, self.queries, self.k, self.least = ids, queries, k, least
         self.lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, vec_id), sorted
 
     def bounds(self) -> np.ndarray:
-        return np.array([-f[-1][0] if len(f) == self.k else -np.inf for f in self.found])
+        return np.maximum(self.least, [-f[-1][0] if len(f) == self.k else -np.inf for f in self.found])
 
     def meet(self, ids: np.ndarray, bucket: np.ndarray, longest: float) -> None:
         dim = max(bucket.shape[1], self.queries.shape[1])  # missing components count as zero
@@ -135,56 +138,98 @@ class Search:
     def verify(self, rows: np.ndarray, products: np.ndarray, ids: np.ndarray) -> None:
         for q, scores in zip(rows.tolist(), products, strict=True):
             found = self.found[q]
-            keep = np.flatnonzero(scores >= -found[-1][0]) if len(found) == self.k else np.arange(len(scores))
+            keep = np.flatnonzero(scores >= (-found[-1][0] if len(found) == self.k else self.least[q]))
             keep = keep[ids[keep] != self.ids[q]]
             if len(keep) > self.k:
                 keep = keep[np.lexsort((ids[keep], -scores[keep]))[: self.k]]
             self.found[q] = sorted([*found, *((-int(scores[i]), int(ids[i])) for i in keep)])[: self.k]
 
 
-def _searcher(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _write(parts: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Blocks of queries as integers: their number, of each its rows and dimension, then of each its ids and vectors."""
+    head = [len(parts), *(x for ids, v in parts for x in (len(ids), v.shape[1]))]
+    return b"".join([np.array(head, np.int64).tobytes(), *(x.tobytes() for ids, v in parts for x in (ids, v))])
 
-    def results(s: Search) -> pa.RecordBatch:
-        rows = [(q, i, -score) for q, f in zip(s.ids.tolist(), s.found, strict=True) for score, i in f]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], schema=schema)
+
+def _read(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    sizes = data[1 : 1 + 2 * data[0]].reshape(-1, 2)
+    at = 1 + sizes.size
+    for n, dim in sizes.tolist():
+        yield data[at : at + n], data[at + n : at + n + n * dim].reshape(n, dim)
+        at += n + n * dim
+
+
+def _searcher(k: int, queries: str, bounds: str | None):
+    """Meets the buckets of a task with the blocks of file ``queries``, from the scores in file ``bounds`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, at = None, None
+        searches: list[Search] | None = None
         for b in batches:
-            for r in b.to_pylist():
-                if (r["block"], r["grp"]) != at:
-                    if search is not None:
-                        yield results(search)
-                    at = r["block"], r["grp"]
-                    search = Search(*_unpacked(r["q_ids"], r["q_data"], r["q_dim"]), k)
-                search.meet(*_unpacked(r["ids"], r["data"], r["dim"]), r["longest"])
-        if search is not None:
-            yield results(search)
+            if searches is None:
+                blocks = list(_read(np.memmap(SparkFiles.get(queries), np.int64, "r")))
+                total = sum(len(ids) for ids, _ in blocks)
+                least = np.memmap(SparkFiles.get(bounds), np.float64, "r") if bounds else np.full(total, -np.inf)
+                searches, at = [], 0
+                for ids, v in blocks:
+                    searches.append(Search(ids, v, k, least[at : at + len(ids)]))
+                    at += len(ids)
+            for r in range(b.num_rows):
+                ids, data, dim, longest = (b.column(c)[r].as_py() for c in ("ids", "data", "dim", "longest"))
+                bucket = _unpacked(ids, data, dim)
+                for s in searches:
+                    s.meet(*bucket, longest)
+        at = 0
+        for s in searches or ():
+            rows = [(at + q, int(s.ids[q]), i, -score) for q, f in enumerate(s.found) for score, i in f]
+            at += len(s.ids)
+            yield pa.record_batch([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["place", "query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS, group_buckets: int = GROUP_BUCKETS) -> DataFrame:
+_FOUND = "place long, query_id long, vec_id long, score long"
+
+
+def _round(buckets: DataFrame, blocks: list, seeds: float, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of what the buckets have for ``blocks``: the k best of each task that reach the bounds."""
+    spark = buckets.sparkSession
+    parts = [_unpacked(bytes(r.ids), bytes(r.data), r.dim) for r in blocks]
+    queries = shared_file(spark, "queries", _write(parts))
+    first = buckets.filter(F.col("longest") >= seeds).mapInArrow(_searcher(k, queries, None), _FOUND)
+    kth = first.groupBy("place").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("bound"))  # k of each seed bucket's task at most
+    least = np.full(sum(len(ids) for ids, _ in parts), -np.inf)
+    for r in kth.filter("bound is not null").toLocalIterator():  # a number a query of the round
+        least[r.place] = r.bound
+    return buckets.mapInArrow(_searcher(k, queries, shared_file(spark, "bounds", least.tobytes())), _FOUND).select("query_id", "vec_id", "score")
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, bucket_rows: int = BUCKET_ROWS, query_rows: int = QUERY_ROWS, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of each query with all other vectors.
 
     ``vectors`` has vec_id and embedding; other columns are not read. ``queries`` picks the queries' rows by vec_id.
     Components count as floor(scale * x). Vectors that are null or hold null or non-finite components, and rows without
-    vec_id, take no part. Of rows with one vec_id the least vector counts, once. Vectors of different dimension are
-    compared as if padded with zeros. Ties go to the smaller vec_id; with fewer than ``k`` others all are returned.
+    vec_id, take no part. Every row is a candidate but those of the query's own vec_id: rows that repeat a vec_id count
+    each, and the answers of queries that share one are ranked together. Vectors of different dimension are compared as if padded with
+    zeros. Ties go to the smaller vec_id; with fewer than ``k`` others all are returned. An empty table gives no rows.
+
+    The driver holds the queries of one round at a time, ``round_bytes`` about. Buckets aren't moved once packed; what is
+    shuffled are the vectors, once, and the scores that reach the bounds.
     """
     taken = durable(_taken(vectors, scale))
     ordered = taken.repartitionByRange(F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
-    buckets = durable(ordered.mapInArrow(_pack(bucket_rows, BUCKET_RATIO), _BLOCK_SQL).withColumn("bucket", F.monotonically_increasing_id()))
-    blocks = durable(taken.filter(queries).sortWithinPartitions(F.desc("length"), "vec_id").mapInArrow(_pack(query_rows, 0.0), _BLOCK_SQL).withColumn("block", F.monotonically_increasing_id()))
-    groups = max(1, -(-buckets.count() // group_buckets))
-    # each block of queries meets each group of buckets once: blocks against blocks, not rows against rows
-    dealt = buckets.withColumn("grp", F.pmod(F.xxhash64("bucket"), F.lit(groups)).cast("int"))
-    asked = blocks.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"), "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    pairs = asked.join(dealt, "grp").repartition("block", "grp").sortWithinPartitions("block", "grp", F.desc("longest"), "bucket")
-    found = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
+    buckets = durable(ordered.mapInArrow(_pack(bucket_rows, BUCKET_RATIO), _BLOCK_SQL))
+    asked = durable(taken.filter(queries).sortWithinPartitions(F.desc("length"), "vec_id").mapInArrow(_pack(query_rows, 0.0), _BLOCK_SQL))
+    rounds = -(-asked.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0] // round_bytes) or 1
+    longest = [r.longest for r in buckets.select("longest").orderBy(F.desc("longest")).limit(SEED_BUCKETS).collect()]
+    found = [vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")]
+    for n in range(rounds):
+        blocks = asked.filter(F.pmod(F.xxhash64("ids"), F.lit(rounds)) == n).collect()
+        if not blocks:
+            continue
+        part = _round(buckets, blocks, longest[-1] if longest else 0.0, k)
+        found.append(part if rounds == 1 else durable(part))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same query for DuckDB.
