@@ -57,7 +57,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return warc.fixity_audit(pages, warc.bit_rot(pages))
+    return warc.fixity_audit(pages, warc.bit_rot)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from orbitweave.llm.warc import audit, bit_rot, fixity_audit, manifest, record, tree
+from orbitweave.llm.warc import audit_files, bit_rot, fixity_audit, read_warc, records_in, slot_of, with_names, write_warc
 
 
 def pages(spark, n=100):
@@ -11,44 +11,70 @@ def pages(spark, n=100):
     return spark.createDataFrame(rows, "page_id long, url string, html string, hash int").repartition(4)
 
 
-def test_records_and_ranges(spark):
-    df = pages(spark, 20)
-    body = {r.page_id: r.rec.encode() for r in df.select("page_id", record(df.url, df.html).alias("rec")).collect()}
-    at = 0
-    for r in manifest(df, 64).orderBy("place").collect():
-        assert r.first == at and r.last == at + len(body[r.page_id]) and r.hash == hashlib.sha256(body[r.page_id]).hexdigest()
-        head, _, rest = body[r.page_id].partition(b"\r\n\r\n")
-        size = int(head.rpartition(b"Content-Length: ")[2])
-        assert rest[size:] == b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n")
-        at = r.last
+def test_files_hold_each_record_with_its_range(spark, tmp_path):
+    write_warc(with_names(pages(spark, 20), 8), f"{tmp_path}/w")
+    import glob
+    import gzip
 
+    whole = {p.split("file=")[1].split("/")[0]: gzip.open(p).read() for p in glob.glob(f"{tmp_path}/w/file=*/*.gz")}
+    assert len(whole) == 3
+    found = read_warc(spark, f"{tmp_path}/w", 8).collect()
+    assert len(found) == 20
+    for r in found:
+        data = whole[r.file][r.first : r.last]
+        head, _, rest = data.partition(b"\r\n\r\n")
+        assert data.startswith(b"WARC/1.1\r\n") and rest[int(head.rpartition(b"Content-Length: ")[2]) :] == b"\r\n\r\n"
+        assert r.hash == hashlib.sha256(data).hexdigest() and f"<{r.id}>".encode() in head and r.slot == int(r.id.split(":")[2]) % 8
+    for file, data in whole.items():
+        ranges = sorted((r.first, r.last) for r in found if r.file == file)
+        assert ranges[0][0] == 0 and ranges[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
 
-@pytest.mark.parametrize("spoil", [None, 5, 63, 99])
-def test_audit_finds_exactly_the_spoilt_record(spark, spoil):
-    df = pages(spark)
-    other = df.withColumn("html", F.when(df.page_id == spoil, "<q>").otherwise(df.html)) if spoil is not None else df
-    got = fixity_audit(df, other, 32, 4).collect()
-    if spoil is None:
-        assert got == []
-    else:  # the record, and what its change of length moves in its file
-        assert min((r.file, r.place) for r in got) == (spoil // 32, spoil % 32)
-        assert {r.file for r in got} == {spoil // 32} and [r.place for r in got if r.hash_a != r.hash_b] == [spoil % 32]
 
+def test_bytes_that_are_no_record_are_one_of_their_own():
+    good = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:7:ab12>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    broken = good.replace(b"Content-Length: 3", b"Content-Length: x")
+    found = list(records_in(good + broken + good + good[:-5]))
+    assert [x[0] for x in found] == ["urn:page:7:ab12", found[1][0], "urn:page:7:ab12", found[3][0]] and found[1][0].startswith("unreadable:")
+    n = len(good)
+    assert [x[1:3] for x in found] == [(0, n), (n, 2 * n), (2 * n, 3 * n), (3 * n, 4 * n - 5)]
+    assert list(records_in(b"")) == [] and slot_of("urn:page:none:ffff", 10) == 5 and slot_of("other", 10) == 0
 
-def test_matches_comparing_all_leaves(spark):
+
+@pytest.mark.parametrize("spoil", ["changed", "lost", "added", None])
+def test_audit_finds_exactly_the_spoilt_records(spark, spoil):
+    rot = {
+        "changed": lambda df: df.withColumn("html", F.when(F.col("page_id").isin(5, 63), "<q>").otherwise(F.col("html"))),
+        "lost": lambda df: df.filter(~F.col("page_id").isin(5, 63)),
+        "added": lambda df: df.unionByName(df.filter(F.col("page_id").isin(5, 63)).withColumn("id", F.regexp_replace("id", ".$", "x"))),
+        None: None,
+    }[spoil]
+    got = [(r.finding, int(r.id.split(":")[2])) for r in fixity_audit(pages(spark), rot, 32, 4).collect()]
+    assert sorted(got) == ([] if spoil is None else [(spoil, 5), (spoil, 63)])
+
+
+def test_matches_comparing_all_records(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    a, b = manifest(df, 16), manifest(bit_rot(df, 5), 16)
-    both = a.alias("a").join(b.alias("b"), ["file", "place"], "full").filter("not (a.hash <=> b.hash and a.first <=> b.first and a.last <=> b.last)")
-    want = {(r.file, r.place) for r in both.select("file", "place").collect()}
-    got = {(r.file, r.place) for r in fixity_audit(df, bit_rot(df, 5), 16, 4).collect()}
+    got = {(r.finding, int(r.id.split(":")[2])) for r in fixity_audit(df, lambda x: bit_rot(x, 5), 16, 4).collect()}
+    rows = {r.page_id: r.html for r in df.collect()}
+    want = {("lost", i) for i in rows if i % 40 == 13} | {("changed", i) for i, h in rows.items() if i % 5 == 0 and h[11] != "~" and i % 40 != 13}
     assert got == want and want
 
 
+def test_records_in_another_file_are_moved(spark, tmp_path):
+    named = with_names(pages(spark, 30), 8)
+    write_warc(named, f"{tmp_path}/a")
+    write_warc(named.withColumn("file", F.when(F.col("page_id") == 9, "f0-0").otherwise(F.col("file"))), f"{tmp_path}/b")
+    (r,) = audit_files(spark, f"{tmp_path}/a", f"{tmp_path}/b", 8, 4).collect()
+    assert (r.finding, r.file_a, r.file_b) == ("moved", "f1-0", "f0-0") and r.hash_a == r.hash_b
+
+
 def test_odd_rows(spark):
-    rows = [(None, None, None), (1, None, "x"), (1, None, "x"), (2, "u", None), (2, "u", ""), (3, "u", "y" * 100000)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert manifest(df).count() == 6 and fixity_audit(df, df).collect() == []
-    assert len(fixity_audit(df, df.filter("page_id = 1")).collect()) == 4
-    empty = df.limit(0)
-    assert fixity_audit(empty, empty).collect() == [] and tree(manifest(empty)).count() == 0
-    assert len(audit(tree(manifest(empty)), tree(manifest(df))).collect()) == 6
+    rows = [(None, None, None), (None, "u", "z"), (1, None, "x"), (1, None, "x"), (2, "u", None), (2, "u", ""), (3, "u", "y" * 100000), (-4, "u", "\r\n\r\nWARC/1.1")]
+    rows += [(7, "u", f"many {i}") for i in range(40)] + [(None, "u", f"none {i}") for i in range(40)]
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], "page_id long, url string, html string, file string, slot string")
+    named = with_names(df, 4)
+    assert named.count() == len(rows) and max(r["count"] for r in named.groupBy("file").count().collect()) < 32
+    assert fixity_audit(df, None, 4).collect() == []
+    got = fixity_audit(df, lambda x: x.filter("page_id = 1"), 4).collect()
+    assert len(got) == len(rows) - 2 and {r.finding for r in got} == {"lost"}
+    assert fixity_audit(df.limit(0)).collect() == []
