@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
-#: Bounds the plain version in the tests only; a run has as many lines as it takes.
-MOST_LINES = 40
+#: Texts whose matches a task remembers, so that copies are scanned once.
+REMEMBERED = 512
 
-# Notices and texts of common licences.
-TEMPLATES = {
+# Notices by which works are put under a licence.
+NOTICES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "MIT-line": "Released under the MIT License.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -31,9 +33,21 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+    "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+    "CC-BY-NC-4.0": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+def templates() -> dict[str, str]:
+    """The notices, and the full texts of the files beside this module, by name."""
+    texts = Path(__file__).with_name("licence_texts").glob("*.txt")
+    return NOTICES | {p.stem: p.read_text(encoding="utf-8") for p in sorted(texts)}
+
+
 Bigrams = frozenset[tuple[str, str]]
 WORD = re.compile(r"[^\W_]+")
 
@@ -64,7 +78,8 @@ class Scanner:
                 self.owners.setdefault(pair, []).append(name)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, first line, lines) of the best runs that don't overlap, by line.
+        """(licence, coefficient, first line, lines) of the best runs that don't overlap, by line. Of runs that overlap the
+        one of most shared bigrams times coefficient stays, so that a text wins over a notice inside it.
 
         A run of lines begins and ends with a line that has part of a bigram of the template; others only dilute it. Where
         whole lines don't reach a template, runs of words inside one line do that begin and end with such a bigram.
@@ -89,70 +104,76 @@ class Scanner:
         for k, pair in enumerate(pairs):
             earlier[k] = before.get(pair, -1)
             before[pair] = k
+        lines_of, ends = np.array(line_of), np.array([last[i] for i in line_of])
         whole, parts = [], []
         for name, at in places.items():
             begins = {first[line_of[k]] for k in at}
+            size, own = len(self.templates[name]), np.zeros(len(pairs), bool)
+            own[at] = True
             for a in begins | set(at):
-                b = self.templates[name]
+                if len(at) - bisect_left(at, a) < self.needed[name]:
+                    continue
                 new = self._new(earlier, a, int(self.sizes[name][1]) + 1)
-                hits, best, best_whole = 0, 0.0, 0.0
-                for n, k in enumerate(new, 1):
-                    if pairs[k] not in b:
-                        continue
-                    hits += 1
-                    d = 2 * hits / (n + len(b))
-                    if pairs[a] in b and d >= self.least and d > best:
-                        best = d
-                        parts.append((-d, a, k + 1, name))
-                    if a in begins:
-                        j = line_of[k + 1]
-                        m = bisect_left(new, last[j])
-                        d = 2 * (hits + sum(pairs[x] in b for x in new[n:m])) / (m + len(b))
-                        if d >= self.least and d > best_whole:
-                            best_whole = d
-                            whole.append((-d, line_of[a], j - line_of[a] + 1, name))
+                mine = own[new]
+                hits = np.cumsum(mine)
+                if not len(hits) or hits[-1] < self.needed[name]:
+                    continue
+                n = np.arange(1, len(new) + 1)
+                if own[a]:
+                    d = np.where(mine, 2 * hits / (n + size), 0.0)
+                    parts += [(-float(hits[x] * d[x]), a, int(new[x]) + 1, name, float(d[x])) for x in self._records(d, hits)]
+                if a in begins:  # up to the end of the line in which each bigram ends
+                    m = np.searchsorted(new, ends[new + 1])
+                    upto = np.append(0, hits)[m]
+                    d = np.where(mine, 2 * upto / (m + size), 0.0)
+                    whole += [(-float(upto[x] * d[x]), line_of[a], int(lines_of[new[x] + 1]) - line_of[a] + 1, name, float(d[x])) for x in self._records(d, upto)]
         taken: set[int] = set()
         used: set[int] = set()
         out = []
         parts.sort(key=lambda x: (x[0], x[1], x[2] - x[1], x[3]))
-        for d, i, n, name in sorted(whole):
+        for _, i, n, name, d in sorted(whole):
             if taken.isdisjoint(range(i, i + n)):
                 taken.update(range(i, i + n))
-                out.append((name, -d, i, n, first[i]))
+                out.append((name, d, i, n, first[i]))
                 # Words of these lines beside the template's own may hold another licence.
-                a, z = next(((a, z) for _, a, z, other in parts if other == name and first[i] <= a and z <= last[i + n - 1]), (first[i], last[i + n - 1]))
+                a, z = next(((a, z) for _, a, z, other, _ in parts if other == name and first[i] <= a and z <= last[i + n - 1]), (first[i], last[i + n - 1]))
                 used.update(range(a, z + 1))
-        for d, a, z, name in parts:
+        for _, a, z, name, d in parts:
             if line_of[a] == line_of[z] and used.isdisjoint(range(a, z + 1)):
                 used.update(range(a, z + 1))
-                out.append((name, -d, line_of[a], 1, a))
+                out.append((name, d, line_of[a], 1, a))
         return [x[:4] for x in sorted(out, key=lambda x: (x[2], x[4]))]
 
+    def _records(self, d: np.ndarray, hits: np.ndarray) -> list[int]:
+        """Where ``d`` reaches the threshold and ``hits`` times it exceeds all before that do."""
+        weight = np.where(d >= self.least, hits * d, 0.0)
+        return np.flatnonzero(weight > np.append(0.0, np.maximum.accumulate(weight)[:-1])).tolist()
+
     @staticmethod
-    def _new(earlier: np.ndarray, a: int, most: int) -> list[int]:
+    def _new(earlier: np.ndarray, a: int, most: int) -> np.ndarray:
         """Places from ``a`` on, ``most`` at most, of bigrams that don't stand between ``a`` and them."""
         size = 2 * most
         while True:
             new = np.flatnonzero(earlier[a : a + size] < a)
             if len(new) >= most or a + size >= len(earlier):
-                return (new[:most] + a).tolist()
+                return new[:most] + a
             size *= 2
 
 
-def licence_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = DICE) -> DataFrame:
+def licence_scan(docs: DataFrame, wanted: dict[str, str] | None = None, least: float = DICE) -> DataFrame:
     """(doc_id, n_licences, licences, best_dice, matches) by row of ``docs`` (doc_id, text; other columns are not read).
 
     ``licences`` joins the distinct names by comma; ``matches`` is an array of (licence, dice, line, lines), lines from
-    0. Null and empty texts match nothing: best_dice is 0. Of runs that overlap the best stays, whole lines before words
-    inside lines, ties to the earlier, shorter, then by name. Repeated rows and null ids pass through; an empty table gives no rows.
+    0. Null and empty texts match nothing: best_dice is 0. Of runs that overlap the one of most shared bigrams times
+    coefficient stays, whole lines before words inside lines, ties to the earlier, shorter, then by name. Repeated rows and null ids pass through; an empty table gives no rows.
     """
-    templates = templates or TEMPLATES
+    wanted = wanted or templates()
     kinds = pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("line", pa.int32()), ("lines", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, least)
+        scan = lru_cache(REMEMBERED)(Scanner(wanted, least).scan)
         for b in batches:
-            rows = [[dict(zip(("licence", "dice", "line", "lines"), m, strict=True)) for m in scanner.scan(t or "")] for t in b.column(1).to_pylist()]
+            rows = [[dict(zip(("licence", "dice", "line", "lines"), m, strict=True)) for m in scan(t or "")] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(kinds))], ["doc_id", "matches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
