@@ -16,6 +16,42 @@ def min_max(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / span)))
 
 
+def z_inverse(z: Column, mean: Column, std: Column, least_std: float = 1e-6) -> Column:
+    return z * F.greatest(std, F.lit(least_std)) + mean
+
+
+def min_max_inverse(scaled: Column, low: Column, high: Column) -> Column:
+    return scaled * (high - low) + low
+
+
+def min_max_eps(x: Column, low: Column, high: Column, eps: float = 1e-8) -> Column:
+    """To [0, 1], clipped, with ``eps`` added to the range."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / (high - low + eps)))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def elevation(geopotential: Column) -> Column:
+    """Metres, by standard gravity."""
+    return geopotential / 9.80665
+
+
+#: What the eastern and the western satellite see, in longitudes from -180 and from 0; and the latitudes.
+EAST, EAST_LAT = (-147.4, -2.6022), 45.64
+WEST, WEST_LAT = (150.425, 295.5748), 43.6826
+
+
+def satellite_of(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """Name ('None' where neither sees it), whether inside its latitudes, and longitude from -180, of a place with longitude from 0."""
+    norm = F.when(lon > 180, lon - 360).otherwise(lon)
+    east, west = norm.between(*EAST), lon.between(*WEST)
+    east_in, west_in = east & lat.between(-EAST_LAT, EAST_LAT), west & lat.between(-WEST_LAT, WEST_LAT)
+    name = F.when(east_in, "east").when(west_in, "west").when(east, "east").when(west, "west").otherwise("None")
+    return name, east_in | west_in, norm
+
+
 def reflectance(radiance: Column, sun_distance: float, irradiance: float) -> Column:
     """pi * d^2 / E of a visible radiance, clipped to [0, 1]."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), radiance * F.pi() * sun_distance**2 / irradiance))

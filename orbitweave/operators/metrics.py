@@ -24,10 +24,16 @@ def error_metrics(df: DataFrame, by: list[str], pred: str, target: str, value_ra
     return sums.withColumn("rmse", F.sqrt("mse")).withColumn("psnr", psnr(F.col("mse"), value_range))
 
 
-def global_ssim(df: DataFrame, by: list[str], x: str, y: str, value_range: float) -> DataFrame:
-    """Structural similarity of each group from its means and population (co)variances."""
+def global_ssim(df: DataFrame, by: list[str], x: str, y: str, value_range: float, weight: Column | None = None) -> DataFrame:
+    """Structural similarity of each group from its means and population (co)variances, rows weighted where ``weight`` is given."""
     c1, c2 = (0.01 * value_range) ** 2, (0.03 * value_range) ** 2
-    s = df.groupBy(*by).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
+    if weight is None:
+        s = df.groupBy(*by).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
+    else:
+        a, b = F.col(x).cast("double"), F.col(y).cast("double")
+        mean = lambda v: F.sum(weight * v) / F.sum(weight)
+        s = df.groupBy(*by).agg(mean(a).alias("mx"), mean(b).alias("my"), mean(a * a).alias("xx"), mean(b * b).alias("yy"), mean(a * b).alias("xy"))
+        s = s.withColumn("vx", F.col("xx") - F.col("mx") ** 2).withColumn("vy", F.col("yy") - F.col("my") ** 2).withColumn("cxy", F.col("xy") - F.col("mx") * F.col("my"))
     top = (2 * F.col("mx") * F.col("my") + c1) * (2 * F.col("cxy") + c2)
     return s.select(*by, (top / ((F.col("mx") ** 2 + F.col("my") ** 2 + c1) * (F.col("vx") + F.col("vy") + c2))).alias("ssim"))
 
@@ -90,6 +96,27 @@ def binned_counts(df: DataFrame, by: list[str], x: str, low: float, high: float,
     return df.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def binned_counts_2d(df: DataFrame, by: list[str], x: tuple[str, float, float, int], y: tuple[str, float, float, int]) -> DataFrame:
+    """(by, x, y, n): :func:`binned_counts` on two axes, each a column with its low, high and bins."""
+    at = lambda c, low, high, bins: F.least(F.greatest(F.floor((F.col(c) - low) / ((high - low) / bins)), F.lit(0)), F.lit(bins - 1)).cast("long")
+    return df.groupBy(*by, at(*x).alias("x"), at(*y).alias("y")).agg(F.count("*").alias("n"))
+
+
+def boxplot(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, q1, med, q3, low, high, outliers): quartiles, the furthest values within 1.5 boxes of them, and how many lie beyond.
+
+    Equal values are counted first, so that quartiles and whiskers come from one table of distinct values.
+    """
+    n = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("__x")).agg(F.count("*").alias("__n"))
+    q = n.groupBy(*by).agg(F.percentile("__x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__n")).alias("q"))
+    q = q.select(*by, *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "med", "q3"))])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col("__x") >= F.col("q1") - reach) & (F.col("__x") <= F.col("q3") + reach)
+    low = F.min(F.when(F.col("__x") >= F.col("q1") - reach, F.col("__x")))
+    high = F.max(F.when(F.col("__x") <= F.col("q3") + reach, F.col("__x")))
+    return n.join(q, by).groupBy(*by, "q1", "med", "q3").agg(low.alias("low"), high.alias("high"), F.coalesce(F.sum(F.when(~inside, F.col("__n"))), F.lit(0)).alias("outliers"))
+
+
 def contrast_limits(df: DataFrame, by: list[str], x: str, factor: float) -> DataFrame:
     """(by, low, high): the percentiles 50 -/+ 25 * factor, kept within 0 and 100."""
     share = lambda p: min(max(p, 0.0), 100.0) / 100

@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitweave.functions.geo import longitude_apart
+from orbitweave.session import durable
+
+#: The finest cells of a search: this power of two of them go round the earth.
+FINEST = 8
+
 
+def _apart(measure: str) -> tuple[Column, Column, bool]:
+    """Distance and its lower bound beyond ``__cell`` degrees on either axis; and whether longitudes wrap."""
+    up, aside = F.abs(F.col("lat_a") - F.col("lat_b")), F.abs(F.col("lon_a") - F.col("lon_b"))
+    shrink = F.cos(F.radians("lat_a"))
+    return {
+        "l1_wrapped": (up + longitude_apart(F.col("lon_a"), F.col("lon_b")), F.col("__cell"), True),
+        "l1": (up + aside, F.col("__cell"), False),
+        "cos_squared": (up * up + F.pow(aside * shrink, 2), F.pow(F.col("__cell") * shrink, 2), False),
+        "euclidean": (F.sqrt(F.pow(up, 2) + F.pow(aside, 2)), F.col("__cell"), False),
+    }[measure]
 
-def nearest_in_space(left: DataFrame, right: DataFrame, left_key: str, right_key: str, cell: float, distance: str = "l1_wrapped") -> DataFrame:
-    """The nearest right row of each left row, of those within ``cell`` degrees on both axes; ties to the smaller key.
 
-    Sides have (lat_a, lon_a) and (lat_b, lon_b). Each right row is dealt to the cells around its own (longitudes wrap),
-    and the join is on cells. ``distance`` is 'l1_wrapped', 'cos_squared' or 'euclidean'; the latter doesn't wrap.
+def nearest_in_space(left: DataFrame, right: DataFrame, left_key: str, right_key: str, measure: str = "l1_wrapped", finest: int = FINEST) -> DataFrame:
+    """(left_key, right_key, distance): the nearest right row of each left row; ties to the smaller right key.
+
+    Sides have (lat_a, lon_a) and (lat_b, lon_b); rows that lack one take no part, and without right rows there are none.
+    ``measure`` is 'l1_wrapped', 'l1', 'cos_squared' (by the left latitude) or 'euclidean'; only the first wraps. Each
+    round joins a left row with the cells around its own; what a round finds is final where nothing beyond those cells
+    can be nearer. The others go on with cells twice as wide, up to the whole earth, so that dense places are settled in
+    fine cells and only lonely rows look far. The best of each task is taken before rows are shuffled.
     """
-    columns = int(round(360 / cell))
-    row = lambda lat: F.floor((F.col(lat) + 90) / cell).cast("long")
-    col = lambda lon: F.floor(F.pmod(F.col(lon), F.lit(360.0)) / cell).cast("long")
-    asked = left.withColumn("__row", row("lat_a")).withColumn("__col", col("lon_a"))
-    steps = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    offered = right.withColumn("__r", F.explode(steps)).withColumn("__c", F.explode(steps))
-    offered = offered.withColumn("__row", row("lat_b") + F.col("__r")).withColumn("__col", F.pmod(col("lon_b") + F.col("__c"), F.lit(columns))).drop("__r", "__c")
-    up, aside = F.abs(F.col("lat_a") - F.col("lat_b")), longitude_apart(F.col("lon_a"), F.col("lon_b"))
-    measures = {
-        "l1_wrapped": up + aside,
-        "cos_squared": up * up + F.pow(aside * F.cos(F.radians("lat_a")), 2),
-        "euclidean": F.sqrt(F.pow(F.col("lat_a") - F.col("lat_b"), 2) + F.pow(F.col("lon_a") - F.col("lon_b"), 2)),
-    }
-    pairs = asked.join(offered, ["__row", "__col"]).filter((up <= cell) & (aside <= cell)).drop("__row", "__col").withColumn("distance", measures[distance])
-    best = Window.partitionBy(left_key).orderBy("distance", right_key)
-    return pairs.withColumn("__nth", F.row_number().over(best)).filter("__nth = 1").drop("__nth")
+    distance, beyond, wraps = _apart(measure)
+    asked = durable(left.select(left_key, "lat_a", "lon_a").dropna())
+    offered = durable(right.select(right_key, "lat_b", "lon_b").dropna())
+    steps, settled = F.array(*[F.lit(x) for x in (-1, 0, 1)]), []
+    for level in range(finest, -1, -1):
+        cell, columns = 360.0 / 2**level, 2**level
+        row = lambda lat: F.floor((F.col(lat) + 90) / cell)
+        col = lambda lon: F.floor(F.pmod(F.col(lon), F.lit(360.0)) / cell) if wraps else F.floor((F.col(lon) + 360) / cell)
+        near = offered.withColumn("__r", F.explode(steps)).withColumn("__c", F.explode(steps)).withColumn("__row", row("lat_b") + F.col("__r"))
+        near = near.withColumn("__col", F.pmod(col("lon_b") + F.col("__c"), F.lit(columns)) if wraps else col("lon_b") + F.col("__c"))
+        last = level == 0
+        pairs = asked.withColumn("__row", row("lat_a")).withColumn("__col", col("lon_a")).join(near, ["__row", "__col"]).withColumn("__cell", F.lit(cell))
+        best = pairs.groupBy(left_key).agg(F.min(F.struct(distance.alias("distance"), F.col(right_key), beyond.alias("beyond"))).alias("best"))
+        found = durable(best.select(left_key, f"best.{right_key}", "best.distance", (F.lit(last) | (F.col("best.distance") <= F.col("best.beyond"))).alias("final")))
+        settled.append(found.filter("final").drop("final"))
+        if last or (asked := durable(asked.join(settled[-1], left_key, "left_anti"))).isEmpty():
+            break
+    return reduce(DataFrame.union, settled)
 
 
 def grid_index(value: Column, start: float, step: float, size: int, tolerance: float = 0.51) -> Column:
@@ -54,3 +77,23 @@ def axis_index(value: Column, axis: list[float]) -> Column:
     """Index of the nearest point of an ascending axis; the lower one wins ties, ends hold. The axis is a literal."""
     middles = [(a + b) / 2 for a, b in zip(axis, axis[1:], strict=False)]
     return F.size(F.filter(F.array(*[F.lit(m) for m in middles]).cast("array<double>"), lambda m: m < value))
+
+
+def in_boxes_2d(boxes: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """Pairs of boxes (lat_lo, lat_hi, lon_lo, lon_hi) and points (lat, lon) inside, ends included.
+
+    An equi-join on the square cells that a box touches; a box should span few of them.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    touched = boxes.withColumn("__row", F.explode(F.sequence(at("lat_lo"), at("lat_hi")))).withColumn("__col", F.explode(F.sequence(at("lon_lo"), at("lon_hi"))))
+    met = touched.join(points.withColumn("__row", at("lat")).withColumn("__col", at("lon")), ["__row", "__col"]).drop("__row", "__col")
+    return met.filter(F.col("lat").between(F.col("lat_lo"), F.col("lat_hi")) & F.col("lon").between(F.col("lon_lo"), F.col("lon_hi")))
+
+
+def regular_axis_index(value: Column, start: float, step: float, size: int, wraps: bool = False) -> Column:
+    """Index of the nearest point of the axis start + i * step, in closed form; the lower one wins ties.
+
+    Ends hold, or an axis round the earth wraps: there beyond the last point the first is next.
+    """
+    i = F.ceil((value - start) / step - 0.5)
+    return F.pmod(i, F.lit(size)).cast("int") if wraps else F.least(F.greatest(i, F.lit(0)), F.lit(size - 1)).cast("int")

@@ -26,10 +26,28 @@ def candidates_in_tolerance(left: DataFrame, right: DataFrame, left_ts: str, rig
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, left_key: str, left_ts: str, right_ts: str, right_key: str, tolerance_s: int, by: list[str] | None = None, rank: int = 1) -> DataFrame:
-    """The ``rank`` nearest right rows of each left row in tolerance; ties to the earlier, then the smaller key."""
-    pairs = candidates_in_tolerance(left, right, left_ts, right_ts, tolerance_s, by)
-    order = Window.partitionBy(left_key).orderBy("abs_micros", right_ts, right_key)
-    return pairs.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rank)
+    """The ``rank`` nearest right rows of each left row within the tolerance, as ``nth`` from 1; ties to the earlier, then the smaller key.
+
+    Each side is sorted once in buckets of time, in which right rows of one time are one entry of at most ``rank`` keys,
+    numbered in order. A left row meets the ``rank`` entries on either side of it by their numbers, so that work follows
+    the rows, not the pairs within the tolerance. Column names of the sides must differ, but for ``by``.
+    """
+    width, by = tolerance_s * 1_000_000, by or []
+    bucket = lambda ts: F.floor(micros(ts) / width).cast("long")
+    first = F.row_number().over(Window.partitionBy(*by, right_ts).orderBy(right_key))
+    others = [c for c in right.columns if c not in by]
+    entries = right.withColumn("__n", first).filter(F.col("__n") <= rank).groupBy(*by, F.col(right_ts).alias("__ts")).agg(F.collect_list(F.struct(*others)).alias("__right"))
+    entries = entries.withColumn("__bucket", F.explode(F.sequence(bucket("__ts") - 1, bucket("__ts") + 1)))
+    mine = [c for c in left.columns if c not in by]
+    asked = left.select(*by, F.col(left_ts).alias("__ts"), F.struct(*mine).alias("__left"), bucket(left_ts).alias("__bucket"))
+    order = Window.partitionBy(*by, "__bucket").orderBy("__ts", F.col("__left").isNotNull())  # at one time entries come first
+    placed = entries.unionByName(asked, allowMissingColumns=True).withColumn("__seq", F.sum(F.when(F.col("__left").isNull(), 1).otherwise(0)).over(order))
+    entry = placed.filter("__left IS NULL").select(*by, "__bucket", "__seq", "__right")
+    wanted = placed.filter("__left IS NOT NULL").select(*by, "__bucket", "__left", F.explode(F.sequence(F.col("__seq") - (rank - 1), F.col("__seq") + rank)).alias("__seq"))
+    pairs = wanted.join(entry, [*by, "__bucket", "__seq"]).select(*by, "__left.*", F.inline("__right"))
+    pairs = pairs.withColumn("abs_micros", F.abs(micros(left_ts) - micros(right_ts))).filter(F.col("abs_micros") <= width)
+    nth = F.row_number().over(Window.partitionBy(left_key).orderBy("abs_micros", right_ts, right_key))
+    return pairs.withColumn("nth", nth).filter(F.col("nth") <= rank)
 
 
 def complete_groups(df: DataFrame, group: Column, name: str, member: str, required: int) -> DataFrame:
@@ -55,3 +73,28 @@ def at_offsets(df: DataFrame, ts: str, minutes: list[int]) -> DataFrame:
     """A row for each record and offset: minutes, frame_ts."""
     each = df.withColumn("minutes", F.explode(F.array(*[F.lit(m) for m in minutes])))
     return each.withColumn("frame_ts", F.col(ts) + F.make_dt_interval(mins=F.col("minutes")))
+
+
+def rounded_slot(ts: str, minutes: int) -> Column:
+    """The time rounded to the nearest ``minutes`` of its hour, halves to even; what would pass 24:00 stays in the day's last slot."""
+    hour = F.date_trunc("HOUR", F.col(ts))
+    past = (micros(ts) - micros("date_trunc('HOUR', " + ts + ")")) / 60_000_000
+    slot = (F.rint(past / minutes) * minutes).cast("int")
+    late = (F.hour(ts) == 23) & (slot == 60)
+    return (hour + F.make_dt_interval(mins=F.when(late, 60 - minutes).otherwise(slot))).cast("timestamp_ntz")
+
+
+def of_day_of_year(year: Column, day: Column, hours: Column) -> Column:
+    """The timestamp of a year, day of year and fractional hour of day, to the second; days and hours may carry."""
+    return F.make_date(year, F.lit(1), F.lit(1)).cast("timestamp_ntz") + F.make_dt_interval(days=day - 1, secs=F.round(hours * 3600).cast("decimal(18,6)"))
+
+
+def strided_scan(strides: Column) -> Column:
+    """The places, from 0, that a scan visits which goes on from place i by strides[i]."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("next"), F.array().cast("array<int>").alias("seen"))
+
+    def step(s: Column, stride: Column) -> Column:
+        here = s["at"] == s["next"]
+        return F.struct((s["at"] + 1).alias("at"), F.when(here, s["at"] + stride.cast("int")).otherwise(s["next"]).alias("next"), F.when(here, F.concat(s["seen"], F.array(s["at"]))).otherwise(s["seen"]).alias("seen"))
+
+    return F.aggregate(strides, start, step)["seen"]

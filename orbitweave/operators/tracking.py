@@ -60,3 +60,25 @@ def typical_step(df: DataFrame, keys: list[str], order: list[str], x: str) -> Da
     """(keys, step): the median of the positive distances between neighbours along each key's order."""
     apart = F.abs(F.col(x) - F.lag(x).over(Window.partitionBy(*keys).orderBy(*order)))
     return df.select(*keys, apart.alias("__apart")).filter("__apart > 0").groupBy(*keys).agg(F.median("__apart").alias("step"))
+
+
+def with_repeats(df: DataFrame, keys: list[str], order: list[str], same: list[str]) -> DataFrame:
+    """Adds pos, the place of each row in its group, and again: whether its group had ``same`` values before."""
+    pos = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    nth = F.row_number().over(Window.partitionBy(*keys, *same).orderBy(*order))
+    return df.withColumn("pos", pos).withColumn("again", nth > 1)
+
+
+def cut_to_length(df: DataFrame, keys: list[str], order: list[str], same: list[str], length: int) -> DataFrame:
+    """Groups of more than ``length`` rows cut to it: rows that repeat ``same`` values go first, else others too, evenly spaced in order.
+
+    What goes of m rows are those at round(i * (m - 1) / (k - 1)), halves to even, for the k to go.
+    """
+    kind, group = Window.partitionBy(*keys, "again"), Window.partitionBy(*keys)
+    rows = with_repeats(df, keys, order, same).withColumn("__m", F.count("*").over(kind)).withColumn("__j", F.row_number().over(kind.orderBy("pos")) - 1)
+    need, repeats = F.count("*").over(group) - length, F.count_if("again").over(group)
+    rows = rows.withColumn("__need", need).withColumn("__d", repeats)
+    k = F.when(F.col("again"), F.least("__need", "__d")).otherwise(F.col("__need") - F.col("__d"))
+    at = lambda i: F.when(F.col("__k") == 1, 0.0).otherwise(F.rint(i * (F.col("__m") - 1) / (F.col("__k") - 1)))
+    goes = (F.col("__k") > 0) & F.exists(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__k") - 1, F.lit(0))), lambda i: at(i) == F.col("__j"))
+    return rows.withColumn("__k", k).filter(~goes).drop("__m", "__j", "__need", "__d", "__k", "pos", "again")

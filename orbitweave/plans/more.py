@@ -108,8 +108,10 @@ def formatted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.format_string("%s_%08d_%s", "event_type", "event_id", F.date_format("ts", "yyyyMMddHHmm")).alias("name"), doy.alias("doy"), day.cast("string").alias("day"))
 
 
-@query("SELECT c_custkey, replace(replace(lower(c_name), '-', '_'), ' ', '_') AS alias, (c_custkey // 32) * 32 + 16 AS tile FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT l_partkey, replace(replace(lower(p_name), '-', '_'), ' ', '_') AS alias, (l_partkey // 32) * 32 + 16 AS tile FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01' EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) JOIN part ON l_partkey = p_partkey")
 def alias_and_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised names and tile centres of customers in the set difference with those who order."""
-    idle = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-    return idle.select("c_custkey", F.translate(F.lower("c_name"), "- ", "__").alias("alias"), (F.floor(F.col("c_custkey") / 32) * 32 + 16).alias("tile"))
+    """Normalised names and tile centres of the parts in a set difference: shipped early, never in large lots."""
+    lines = table(spark, sf_dir, "lineitem")
+    early, large = lines.filter("l_shipdate < TIMESTAMP_NTZ'1993-01-01 00:00:00'").select("l_partkey"), lines.filter("l_quantity >= 50").select("l_partkey")
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return early.subtract(large).join(names, "l_partkey").select("l_partkey", F.translate(F.lower("p_name"), "- ", "__").alias("alias"), (F.floor(F.col("l_partkey") / 32) * 32 + 16).alias("tile"))

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from orbitweave.functions import geo, scaling
 from orbitweave.operators import arrays, metrics, sampling, spatial, temporal, tracking
-from orbitweave.plans import more  # noqa: F401  registers its queries
-from orbitweave.plans.registry import QUERIES, SQL, query, table
+from orbitweave.plans import catalogues, grids, more, samples  # noqa: F401  they register their queries
+from orbitweave.plans.registry import LAT, LON, QUERIES, SQL, query, table
 from orbitweave.streaming.windows import windowed_counts
 
 __all__ = ["QUERIES", "SQL"]
 
 r6 = lambda c: F.round(c, 6)
-LAT = "((event_id * 37) % 1601 - 800) / 10.0"
-LON = "((event_id * 91) % 3599 - 1799) / 10.0"
 
 
 @query("SELECT event_id, ts, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE pos = n // 2")
@@ -279,13 +277,36 @@ def dimension_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.join(s, "dim").select("vec_id", "dim", F.round(scaling.z_score(F.col("x"), F.col("mean"), F.col("std")), 5).alias("z"), F.round(scaling.min_max(F.col("x"), F.col("low"), F.col("high")), 5).alias("scaled"))
 
 
-@query(f"""WITH a AS (SELECT event_id AS id_a, {LAT} AS lat_a, {LON} AS lon_a FROM events WHERE event_type = 'error'), b AS (SELECT event_id AS id_b, {LAT} AS lat_b, {LON} AS lon_b FROM events WHERE event_type = 'click'),
- w AS (SELECT *, abs((CASE WHEN lon_a < 0 THEN lon_a + 360 ELSE lon_a END) - (CASE WHEN lon_b < 0 THEN lon_b + 360 ELSE lon_b END)) AS d FROM a, b), p AS (SELECT id_a, id_b, abs(lat_a - lat_b) AS up, least(d, 360 - d) AS aside FROM w)
- SELECT id_a, round(min(up + aside), 6) AS distance FROM p WHERE up <= 5 AND aside <= 5 GROUP BY 1""")
-def spatial_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nearest(distance: str) -> str:
+    return f"""WITH a AS (SELECT event_id AS id_a, ({LAT})::DOUBLE AS lat_a, ({LON})::DOUBLE AS lon_a FROM events WHERE event_type = 'error'), b AS (SELECT event_id AS id_b, ({LAT})::DOUBLE AS lat_b, ({LON})::DOUBLE AS lon_b FROM events WHERE event_type = 'click' AND event_id % 3 = 0),
+     w AS (SELECT *, abs((CASE WHEN lon_a < 0 THEN lon_a + 360 ELSE lon_a END) - (CASE WHEN lon_b < 0 THEN lon_b + 360 ELSE lon_b END)) AS d FROM a, b) SELECT id_a, round(min({distance}), 6) AS distance FROM w GROUP BY 1"""
+
+
+def _nearest_rows(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
+    """Every third click is a place that can be found, so that some are far from all."""
     events = table(spark, sf_dir, "events")
-    side = lambda kind, s: events.filter(F.col("event_type") == kind).select(F.col("event_id").alias(f"id_{s}"), F.expr(LAT).cast("double").alias(f"lat_{s}"), F.expr(LON).cast("double").alias(f"lon_{s}"))
-    return spatial.nearest_in_space(side("error", "a"), side("click", "b"), "id_a", "id_b", 5.0).select("id_a", r6("distance").alias("distance"))
+    side = lambda on, s: events.filter(on).select(F.col("event_id").alias(f"id_{s}"), F.expr(LAT).cast("double").alias(f"lat_{s}"), F.expr(LON).cast("double").alias(f"lon_{s}"))
+    return spatial.nearest_in_space(side("event_type = 'error'", "a"), side("event_type = 'click' AND event_id % 3 = 0", "b"), "id_a", "id_b", measure).select("id_a", r6("distance").alias("distance"))
+
+
+@query(_nearest("abs(lat_a - lat_b) + least(d, 360 - d)"))
+def spatial_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_rows(spark, sf_dir, "l1_wrapped")
+
+
+@query(_nearest("pow(lat_a - lat_b, 2) + pow((lon_a - lon_b) * cos(radians(lat_a)), 2)"))
+def spatial_nearest_cos_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_rows(spark, sf_dir, "cos_squared")
+
+
+@query(_nearest("sqrt(pow(lat_a - lat_b, 2) + pow(lon_a - lon_b, 2))"))
+def spatial_nearest_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_rows(spark, sf_dir, "euclidean")
+
+
+@query(_nearest("abs(lat_a - lat_b) + abs(lon_a - lon_b)"))
+def spatial_nearest_without_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_rows(spark, sf_dir, "l1")
 
 
 @query("SELECT c_custkey, CASE WHEN i >= 0 AND i < 11000 // 500 AND abs(c_acctbal - (i * 500.0 - 1000)) <= 0.45 * 500 THEN i::INTEGER END AS cell FROM (SELECT *, round_even((c_acctbal + 1000) / 500.0, 0) AS i FROM customer)")
@@ -308,7 +329,7 @@ def box_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("n_nationkey").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, floor(l_discount * 100 / 0.5)::INTEGER AS a, least(ceil((l_discount * 100 + l_quantity / 5) / 0.5) - 1, 39)::INTEGER AS b, (l_suppkey % 8 + 1)::INTEGER AS kind, l_partkey FROM lineitem),
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, floor(l_discount * 100 / 0.5)::INTEGER AS a, least(floor((l_discount * 100 + l_quantity / 5) / 0.5), 39)::INTEGER AS b, (l_suppkey % 8 + 1)::INTEGER AS kind, l_partkey FROM lineitem),
   e AS (SELECT l_orderkey, unnest(generate_series(a, b)) AS bin, l_linenumber * 1000000 + l_partkey AS ord, kind FROM l WHERE b >= a) SELECT l_orderkey, bin::INTEGER AS bin, arg_max(kind, ord * 10 + kind) AS kind FROM e GROUP BY 1, 2""")
 def layer_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("l_discount") * 100
@@ -316,11 +337,13 @@ def layer_rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.rasterise(layers, ["l_orderkey"], "base", "top", "kind", "ord", 40, 0.5)
 
 
-@query("""WITH p AS (SELECT o_custkey, (epoch(o_orderdate) / 86400)::DOUBLE AS day, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2), g AS (SELECT unnest([9000.0, 9500.0, 10000.0, 10500.0])::DOUBLE AS day),
-  s AS (SELECT o_custkey, g.day, count(*) AS n, max(CASE WHEN p.day <= g.day THEN p.day END) AS x0, arg_max(y, CASE WHEN p.day <= g.day THEN p.day END) AS y0, min(CASE WHEN p.day >= g.day THEN p.day END) AS x1, arg_min(y, CASE WHEN p.day >= g.day THEN p.day END) AS y1 FROM p, g GROUP BY 1, 2)
-  SELECT o_custkey, day, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (day - x0) / (x1 - x0) END, 4) AS price FROM s WHERE n >= 2""")
+@query("""WITH v AS (SELECT o_custkey, (epoch(o_orderdate) / 86400)::DOUBLE AS day, CASE WHEN o_totalprice > 150000 THEN o_totalprice - 150000 END AS y FROM orders), c AS (SELECT o_custkey, count(y) AS n FROM v GROUP BY 1),
+  p AS (SELECT o_custkey, day, avg(y) AS y FROM v WHERE y IS NOT NULL GROUP BY 1, 2), g AS (SELECT unnest([9000.0, 9500.0, 10000.0, 10500.0])::DOUBLE AS z),
+  s AS (SELECT c.o_custkey, g.z, any_value(n) AS n, max(CASE WHEN p.day <= g.z THEN p.day END) AS x0, arg_max(y, CASE WHEN p.day <= g.z THEN p.day END) AS y0, min(CASE WHEN p.day >= g.z THEN p.day END) AS x1, arg_min(y, CASE WHEN p.day >= g.z THEN p.day END) AS y1 FROM c CROSS JOIN g LEFT JOIN p USING (o_custkey) GROUP BY 1, 2)
+  SELECT o_custkey, z AS day, round(CASE WHEN n < 2 THEN 0 WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (z - x0) / (x1 - x0) END, 4) AS price FROM s""")
 def linear_interp_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = table(spark, sf_dir, "orders").select("o_custkey", (temporal.micros("o_orderdate") / 86_400_000_000).alias("day"), F.col("o_totalprice").alias("price"))
+    """Prices below 150,000 turn negative and don't count; customers with less than two that do get zeros."""
+    points = table(spark, sf_dir, "orders").select("o_custkey", (temporal.micros("o_orderdate") / 86_400_000_000).alias("day"), (F.col("o_totalprice") - 150_000).alias("price"))
     out = arrays.interpolate(points, ["o_custkey"], "day", "price", [9000.0, 9500.0, 10000.0, 10500.0])
     return out.withColumn("price", F.round("price", 4))
 

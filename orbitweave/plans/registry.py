@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Positions on the earth made from the events' ids, for Spark and DuckDB alike.
+LAT = "((event_id * 37) % 1601 - 800) / 10.0"
+LON = "((event_id * 91) % 3599 - 1799) / 10.0"
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 

@@ -27,6 +27,18 @@ def with_scan_fields(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("channel", part(1).cast("int")).withColumn("platform", part(2)).withColumn("scan_time", F.to_timestamp_ntz(part(3), F.lit("yyyyDDDHHmmss")))
 
 
+def at_place(name: str, first: int, last: int) -> Column:
+    """The characters [first, last) of a name, counted from 0, as fixed-offset names are cut."""
+    return F.substring(name, first + 1, last - first)
+
+
+def preferred(days: DataFrame, daily: DataFrame, monthly: DataFrame, day: str, keys: list[str]) -> DataFrame:
+    """(day, keys, kind): by day and keys the daily file where there is one, else that of the month's first day."""
+    of_day = days.join(daily, day).select(day, *keys, "kind")
+    of_month = days.withColumn("__month", F.trunc(day, "month")).join(monthly.withColumnRenamed(day, "__month"), "__month").select(day, *keys, "kind")
+    return of_day.unionByName(of_month).groupBy(day, *keys).agg(F.min("kind").alias("kind"))  # 'daily' comes before 'monthly'
+
+
 def first_present(df: DataFrame, names: list[str], default: Column | None = None) -> Column:
     """The first of ``names`` that ``df`` has, for schemas that differ in spelling."""
     found = [F.col(n) for n in names if n in df.columns]

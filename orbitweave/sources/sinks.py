@@ -23,3 +23,13 @@ def grouped_by_prefix(df: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     group_of = {c: next((g for p, g in prefixes.items() if c.startswith(p)), None) for c in df.columns}
     structs = [F.struct(*[F.col(c).alias(c.removeprefix(p)) for c in df.columns if group_of[c] == g]).alias(g) for p, g in prefixes.items() if g in group_of.values()]
     return df.select(*[c for c in df.columns if group_of[c] is None], *structs)
+
+
+def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """CSV with a header; timestamps to the microsecond."""
+    df.write.partitionBy(*(partition_by or [])).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path, header=True)
+
+
+def write_manifests(df: DataFrame, path: str) -> None:
+    """A line of JSON a row, with its keys in alphabetical order."""
+    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.text(path)

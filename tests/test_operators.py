@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,20 +60,105 @@ def test_nearest_grid_cell_and_wrap(spark):
     grid = grid.filter("lat_b <= 89").withColumn("cell", F.col("lat_b") * 100 + F.col("lon_b"))
     asked = spark.createDataFrame([(1, 52.1, 37.2)], "q int, lat_a double, lon_a double")
     for kind in ("l1_wrapped", "cos_squared", "euclidean"):
-        assert values(spatial.nearest_in_space(asked, grid, "q", "cell", 2.0, kind), "lat_b", "lon_b") == [(52.0, 37.0)]
+        assert values(spatial.nearest_in_space(asked, grid, "q", "cell", kind), "cell") == [(5237.0,)]
     east = spark.createDataFrame([(1, 0.0, 179.9)], "q int, lat_a double, lon_a double")
     west = spark.createDataFrame([(7, 0.0, -179.9), (8, 0.0, 178.0)], "cell int, lat_b double, lon_b double")
-    assert values(spatial.nearest_in_space(east, west, "q", "cell", 2.0), "cell") == [(7,)]
+    assert values(spatial.nearest_in_space(east, west, "q", "cell"), "cell") == [(7,)]
+    assert values(spatial.nearest_in_space(east, west, "q", "cell", "euclidean"), "cell") == [(8,)]
+    assert spatial.nearest_in_space(east, west.limit(0), "q", "cell").collect() == []
+
+
+def test_nearest_place_is_the_nearest_however_far(spark):
+    at = lambda rows, s: spark.createDataFrame(rows, f"{'q' if s == 'a' else 'cell'} int, lat_{s} double, lon_{s} double")
+    corner = spatial.nearest_in_space(at([(1, 0.0, 0.0), (2, -90.0, 179.0), (3, None, 1.0)], "a"), at([(1, 4.9, 4.9), (2, 5.5, 0.0)], "b"), "q", "cell")
+    assert values(corner, "q", "cell", "distance") == [(1, 2, 5.5), (2, 1, 94.9 + 174.1)]
+    north = spatial.nearest_in_space(at([(1, 80.0, 0.0)], "a"), at([(1, 84.0, 0.0), (2, 80.0, 6.0)], "b"), "q", "cell", "cos_squared")
+    assert values(north, "cell") == [(2,)]
+
+
+@pytest.mark.parametrize("measure", ["l1_wrapped", "l1", "cos_squared", "euclidean"])
+def test_nearest_place_matches_all_pairs(spark, measure):
+    rng = random.Random(3)
+    place = lambda: (round(rng.triangular(-90, 90, 40), 1), round(rng.uniform(-180, 180), 1))
+    a, b = [(i, *place()) for i in range(60)], [(i, *place()) for i in range(25)]
+
+    def apart(x, y):
+        up, aside = abs(x[1] - y[1]), abs(x[2] - y[2])
+        turn = abs(x[2] % 360 - y[2] % 360)
+        return {"l1_wrapped": up + min(turn, 360 - turn), "l1": up + aside, "cos_squared": up**2 + (aside * math.cos(math.radians(x[1]))) ** 2, "euclidean": math.hypot(up, aside)}[measure]
+
+    left = spark.createDataFrame(a, "q int, lat_a double, lon_a double")
+    right = spark.createDataFrame(b, "cell int, lat_b double, lon_b double")
+    got = {r.q: r.distance for r in spatial.nearest_in_space(left, right, "q", "cell", measure).collect()}
+    assert got.keys() == {x[0] for x in a}
+    assert all(abs(got[x[0]] - min(apart(x, y) for y in b)) < 1e-9 for x in a)
+
+
+@pytest.mark.parametrize("rank", [1, 3])
+def test_nearest_in_time_matches_all_pairs(spark, rank):
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    a = [(i, i % 2, start + dt.timedelta(seconds=rng.randrange(4000))) for i in range(50)]
+    b = [(i, i % 2, start + dt.timedelta(seconds=rng.randrange(400) * 10)) for i in range(90)] + [(100 + i, 0, start + dt.timedelta(seconds=60)) for i in range(20)]
+    left, right = spark.createDataFrame(a, "q int, g int, at timestamp_ntz"), spark.createDataFrame(b, "r int, g int, ts timestamp_ntz")
+    got = sorted((x.q, x.nth, x.r) for x in temporal.nearest_in_time(left, right, "q", "at", "ts", "r", 120, ["g"], rank).collect())
+    want = []
+    for q, g, t in a:
+        near = sorted((abs(t - u), u, r) for r, h, u in b if g == h and abs(t - u).total_seconds() <= 120)[:rank]
+        want += [(q, n + 1, r) for n, (_, _, r) in enumerate(near)]
+    assert got == sorted(want)
 
 
 def test_rasterised_layers(spark):
     df = spark.createDataFrame([(0, 2.0, 3.5, 4, 1), (0, 3.0, 3.2, 7, 2), (0, -1.0, -1.0, 9, 3), (1, 19.9, 30.0, 2, 1)], "p int, base double, top double, kind int, layer int")
-    assert values(arrays.rasterise(df, ["p"], "base", "top", "kind", "layer", 40, 0.5), "p", "bin", "kind") == [(0, 4, 4), (0, 5, 4), (0, 6, 7), (1, 39, 2)]
+    assert values(arrays.rasterise(df, ["p"], "base", "top", "kind", "layer", 40, 0.5), "p", "bin", "kind") == [(0, 4, 4), (0, 5, 4), (0, 6, 7), (0, 7, 4), (1, 39, 2)]
+
+
+def test_layer_masks_tell_missing_from_clear(spark):
+    layer, none = (2.0, 3.0, 4), (-1.0, -1.0, 0)
+    df = spark.createDataFrame([(0, 1, [layer, none]), (1, 0, [none, none]), (2, -9, [layer, none]), (3, 2, [none, layer])], "p int, n int, layers array<struct<base: double, top: double, kind: int>>")
+    mask = {r.p: r.m for r in df.select("p", arrays.layer_mask(F.col("layers"), F.col("n"), 40, 0.5).alias("m")).collect()}
+    assert [i for i, k in enumerate(mask[0]) if k] == [4, 5, 6] and set(mask[0]) == {0, 4}
+    assert set(mask[1]) == {0} and mask[2] == [-1] * 40 and [i for i, k in enumerate(mask[3]) if k == 4] == [4, 5, 6]
+    old = {r.p: r.m for r in df.select("p", arrays.layer_mask(F.col("layers"), F.col("n"), 40, 0.5, clip=False).alias("m")).collect()}
+    assert set(old[3]) == {0} and set(old[2]) == {0, 4}
+    flags = df.select(arrays.binary_mask(F.lit(-1)).alias("a"), arrays.binary_mask(F.lit(0)).alias("b"), arrays.binary_mask(F.lit(7)).alias("c")).first()
+    assert tuple(flags) == (-1, 0, 1)
+
+
+def test_aligned_arrays_must_agree_in_length(spark):
+    df = spark.createDataFrame([([1, 2], [3, 4, 5])], "a array<int>, b array<int>")
+    with pytest.raises(Exception, match="arrays of 2 and 3 elements"):
+        df.select(arrays.zipped(F.col("a"), F.col("b"), ("x", "y"))).collect()
+    with pytest.raises(Exception, match="a has 2 elements, not 3"):
+        df.select(arrays.checked(F.col("a"), 3, "a")).collect()
+    row, col = arrays.unpatched(F.col("p"), F.col("q"), 4, 12)
+    cells = spark.range(144).select(F.floor(F.col("id") / 12).alias("r"), (F.col("id") % 12).alias("c"))
+    back = arrays.patches(cells, "r", "c", 4, 12).select("r", "c", F.col("patch").alias("p"), F.col("place").alias("q"))
+    assert back.filter((row != F.col("r")) | (col != F.col("c"))).count() == 0
+
+
+def test_shared_folders_are_named_on_a_cluster(spark, monkeypatch):
+    from orbitweave import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
 
 
 def test_interpolation_holds_ends_and_needs_two_points(spark):
     df = spark.createDataFrame([("a", 1.0, 10.0), ("a", 3.0, 30.0), ("b", 1.0, 5.0), ("a", None, 1.0)], "k string, x double, y double")
-    assert values(arrays.interpolate(df, ["k"], "x", "y", [0.0, 1.0, 2.0, 9.0]), "k", "x", "y") == [("a", 0.0, 10.0), ("a", 1.0, 10.0), ("a", 2.0, 20.0), ("a", 9.0, 30.0)]
+    assert values(arrays.interpolate(df, ["k"], "x", "y", [0.0, 1.0, 2.0, 9.0]), "k", "x", "y") == [("a", 0.0, 10.0), ("a", 1.0, 10.0), ("a", 2.0, 20.0), ("a", 9.0, 30.0), *[("b", g, 0.0) for g in (0.0, 1.0, 2.0, 9.0)]]
+    odd = spark.createDataFrame([("a", 1.0, 10.0), ("a", 2.0, -9.0), ("a", 3.0, 30.0), ("c", 1.0, -1.0), ("c", float("nan"), 5.0), ("c", 2.0, 7.0)], "k string, x double, y double")
+    assert values(arrays.interpolate(odd, ["k"], "x", "y", [2.0]), "k", "x", "y") == [("a", 2.0, 20.0), ("c", 2.0, 0.0)]
+    assert values(arrays.interpolate(odd, ["k"], "x", "y", [9.0], least=1), "k", "y") == [("a", 30.0), ("c", 7.0)]
 
 
 def test_centred_arrays(spark):
