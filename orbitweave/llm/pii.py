@@ -211,18 +211,17 @@ def estimate_reliabilities(counts: dict[str, int], rounds: int = EM_ROUNDS) -> t
 
 def fit(docs: DataFrame) -> SpanModel:
     """The span classifier of ``docs``' own candidates; without any, one that adds nothing."""
-    found = with_candidates(base_spans(docs, [])).select(F.explode("__more").alias("x"))
-    table = found.groupBy(F.col("x.votes").alias("votes"), F.col("x.looks").alias("looks")).count().collect()  # as many rows as forms, not spans
-    if not table:
+    found = with_candidates(base_spans(docs.select("text"), [])).select(F.explode("__more").alias("x"))
+    each = found.select(F.explode(F.concat("x.looks", F.array(F.lit("")))).alias("look"), F.col("x.votes").alias("votes"))
+    table = each.groupBy("look", "votes").count().collect()  # looks times 3 ^ labelers at most, whatever the corpus
+    counts = {r.votes: r["count"] for r in table if not r["look"]}
+    if not counts:
         return SpanModel(-1.0, {})
-    counts: dict[str, int] = {}
-    for r in table:
-        counts[r.votes] = counts.get(r.votes, 0) + r["count"]
     belief, tables, prior = estimate_reliabilities(counts)
     features: dict[str, list[float]] = {}
-    for r in table:
-        for f in r.looks:
-            both = features.setdefault(f, [0.0, 0.0])
+    for r in sorted(table, key=lambda r: (r["look"], r.votes)):
+        if r["look"]:
+            both = features.setdefault(r["look"], [0.0, 0.0])
             both[0] += r["count"] * belief[r.votes]
             both[1] += r["count"] * (1 - belief[r.votes])
     yes = sum(n * belief[v] for v, n in counts.items())
@@ -261,8 +260,12 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
 
 
 def masked(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs`` with each span of the text replaced by its kind in brackets; a null text stays null."""
-    found = find(docs, fit(docs), docs.columns, accept)
+    """The rows of ``docs`` with each span of the text replaced by its kind in brackets; a null text stays null.
+
+    Repeated rows and null ids pass through; an empty table gives no rows. The caller's columns ride in one struct, so
+    that no name of theirs can clash.
+    """
+    found = find(docs.select(F.struct("*").alias("row"), "text"), fit(docs), ["row"], accept)
     name = F.array(*[F.lit(k.upper()) for k in KINDS])
     # (end so far, pieces): what lies between spans, and a mark for each span that reaches beyond the last
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -274,5 +277,5 @@ def masked(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
 
     done = found.withColumn("__done", F.aggregate("__spans", start, step))
     text = F.concat(F.array_join("__done.out", ""), F.substring(F.col("__text"), F.col("__done.at") + 1, F.length("__text")))
-    masked_text = F.when(F.size("__spans") > 0, text).otherwise(F.col("text")).alias("text")
-    return done.select(*[masked_text if c == "text" else F.col(c) for c in docs.columns])
+    masked_text = F.when(F.size("__spans") > 0, text).otherwise(F.col("row.text")).alias("text")
+    return done.select(*[masked_text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

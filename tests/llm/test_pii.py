@@ -78,6 +78,15 @@ def test_the_method_adds_secrets_and_leaves_the_rest(spark):
             assert r.spans == ""
 
 
+def test_columns_of_any_name_ride_along(spark):
+    names = ["row", "__text", "__base", "__more", "__spans", "__done", "n_email", "spans"]
+    docs = spark.createDataFrame([(1, "a@b.cd x", *names), (None, None, *names), (1, "a@b.cd x", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = masked(docs)
+    assert got.columns == docs.columns and sorted(map(str, (r.text for r in got.collect()))) == ["None", "[EMAIL] x", "[EMAIL] x"]
+    assert sorted(r.n_email for r in personal_data(docs).collect()) == [0, 1, 1]
+    assert masked(docs.limit(0)).collect() == []
+
+
 def test_masked_texts(spark):
     rows = [*secrets_corpus(), (500, "é mail a.b@c.de, 10.0.0.1 and +1 (017) 555-7713!"), (501, None), (502, "nothing")]
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
