@@ -272,8 +272,10 @@ def keep_one(docs: DataFrame, distance: int = 3, words_per_shingle: int = 3) ->
     words are a component. An empty table gives no rows. Columns of any name ride in a struct.
     """
     winners = _kinds(durable(_keyed(docs, words_per_shingle)), distance).groupBy("root").agg(F.min("best").alias("best"))
-    winners = winners.select(F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
+    # An id and whether it is there as two columns without nulls, so that grouping and join share one shuffle.
+    named = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id"), F.col(c).isNull().alias("unnamed"))
+    winners = winners.select(*named("best.doc_id"), F.col("best.key").alias("key"))
     # Equal rows meet in their task first, so that many copies of one row don't meet in one.
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    rows = rows.groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return rows.join(winners, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key")), "left_semi").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), *named("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    rows = rows.groupBy("id", "unnamed", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(winners, ["id", "unnamed", "key"], "left_semi").select("row.*")
