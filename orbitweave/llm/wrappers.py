@@ -34,6 +34,8 @@ RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 NOT_TEXT = frozenset("head title nav menu aside footer form fieldset button select option label input dialog".split())
 OUTER_ONLY = frozenset(["header"])
 MARKS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side nav navbar navigation menu breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies disqus discussion widget toolbar pagination pager copyright disclaimer legal skip hidden".split())
+#: Words that leave the meaning of a mark beside them as it is, as in site-footer or comment-list.
+NEUTRAL = frozenset("site page main top bottom left right box list bar wrap wrapper container block section area inner outer content slot unit links item items panel primary secondary header head global js".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: An open element of the key is closed by the start of one of the value.
 CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
@@ -64,8 +66,11 @@ def _is_barred(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())
-    return tag not in ("html", "body", "article", "main") and bool(MARKS.intersection(words)) or tag == "article" and bool({"comment", "comments", "reply"}.intersection(words))
+    names = [set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    if tag == "article":
+        return any({"comment", "comments", "reply"} & words for words in names)
+    # A name marks its element where all its words do, or but neutral ones and numbers; share-prices isn't a share box.
+    return tag not in ("html", "body", "main") and any(words & MARKS and all(w in MARKS or w in NEUTRAL or w.isdigit() for w in words) for words in names)
 
 
 def blocks_of(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -157,29 +162,64 @@ def _place(node: Node, nodes: dict[int, tuple[int, ...]], path: tuple[int, ...])
         stack.extend(n.children)
 
 
-def match(a: Shape, b: Shape) -> tuple[int, list[tuple[tuple[int, ...], tuple[int, ...]]]]:
-    """Simple tree matching: the size of the largest order-keeping match of two trees, and the pairs of places."""
+Pairs = list[tuple[tuple[int, ...], tuple[int, ...]]]
+
+
+def size_of(s: Shape) -> int:
+    return 1 + sum(map(size_of, s[1]))
+
+
+def identity(s: Shape, path: tuple[int, ...] = ()) -> Iterator[tuple[int, ...]]:
+    """The places of a tree."""
+    yield path
+    for i, child in enumerate(s[1]):
+        yield from identity(child, (*path, i))
+
+
+def match(a: Shape, b: Shape, known: dict[tuple[Shape, Shape], tuple[int, Pairs]] | None = None) -> tuple[int, Pairs]:
+    """Simple tree matching: the size of the largest order-keeping match of two trees, and the pairs of places.
+
+    Equal subtrees are matched as they are: equal trees, and equal children at the begin and at the end, which some largest
+    match pairs. The table is over the children between them; pairs of children that come again are matched once.
+    """
     if a[0] != b[0]:
         return 0, []
+    if a == b:
+        return size_of(a), [(p, p) for p in identity(a)]
+    known = {} if known is None else known
     x, y = a[1], b[1]
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    pairs: Pairs = [((), ())]
+    total = 1
+    for i, j in [(i, i) for i in range(head)] + [(len(x) - k, len(y) - k) for k in range(1, tail + 1)]:
+        total += size_of(x[i])
+        pairs += [((i, *p), (j, *p)) for p in identity(x[i])]
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
     table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     inner = {}
     for i, p in enumerate(x):
         for j, q in enumerate(y):
-            inner[i, j] = match(p, q)
-            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + inner[i, j][0])
-    pairs: list[tuple[tuple[int, ...], tuple[int, ...]]] = [((), ())]
+            if p[0] == q[0]:
+                if (p, q) not in known:
+                    known[p, q] = match(p, q, known)
+                inner[i, j] = known[p, q]
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (inner[i, j][0] if (i, j) in inner else 0))
     i, j = len(x), len(y)
     while i and j:
-        w, below = inner[i - 1, j - 1]
+        w, below = inner.get((i - 1, j - 1), (0, []))
         if w and table[i][j] == table[i - 1][j - 1] + w:
-            pairs += [((i - 1, *p), (j - 1, *q)) for p, q in below]
+            pairs += [((head + i - 1, *p), (head + j - 1, *q)) for p, q in below]
             i, j = i - 1, j - 1
         elif table[i][j] == table[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + table[-1][-1], pairs
+    return total + table[-1][-1], pairs
 
 
 def read_shape(text: str) -> Shape:

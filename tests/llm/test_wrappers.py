@@ -1,8 +1,9 @@
 import html
 import random
 import re
+import time
 
-from orbitweave.llm.wrappers import Aligner, blocks_of, extract, main_text, match, shape
+from orbitweave.llm.wrappers import Aligner, blocks_of, extract, main_text, match, shape, size_of
 
 
 def text_of(page):
@@ -78,3 +79,44 @@ def test_pages_of_equal_texts_count_once_whatever_their_markup(spark):
     rows = [(i, "http://l.example/", page(i, "<p>Log in</p>")) for i in range(50)] + [(100 + i, "http://l.example/", page(i, f"<p>Text {i} of its own</p>")) for i in range(50)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "Log in" for i in range(50)} | {100 + i: f"Text {i} of its own" for i in range(50)}
+
+
+def test_content_with_a_marked_word_in_its_class_stays():
+    page = '<body><div class="site-footer">foot</div><div class="commentList">said</div><p class="share-prices">Shares rose.</p><div class="legal-history">Old laws.</div><div id="related-work">Others.</div><div class="ad-slot-3">Buy</div></body>'
+    assert main_text(page, "", frozenset(), Aligner()) == "Shares rose.\nOld laws.\nOthers."
+
+
+def test_matching_long_tables_is_quick_and_exact():
+    row = lambda i: ("tr", (("td", (("#", ()),)),) * (1 + i % 2))
+    long, cut = ("table", tuple(row(i) for i in range(5000))), ("table", tuple(row(i) for i in range(4990)) + (("tr", ()),))
+    began = time.time()
+    n, pairs = match(long, cut)
+    assert time.time() - began < 5 and n == len(pairs) and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == n
+    assert match(long, long)[0] == size_of(long)
+
+
+def plain_match(a, b):
+    if a[0] != b[0]:
+        return 0
+    table = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + plain_match(x, y))
+    return 1 + table[-1][-1]
+
+
+def test_matches_are_the_largest():
+    rng = random.Random(3)
+    grow = lambda d: (rng.choice("ab"), tuple(grow(d - 1) for _ in range(rng.randint(0, 4))) if d else ())
+    for _ in range(150):
+        a, b = ("r", grow(3)[1]), ("r", grow(3)[1])
+        n, pairs = match(a, b)
+        assert n == plain_match(a, b) == len(pairs)
+
+
+def test_the_template_decides_where_pages_have_no_marks(spark):
+    page = lambda i: f"<html><body><div><div>Home</div><div>Imprint</div></div><div><div>Text {i} of this site.</div><div>More {i}.</div></div><div>All rights reserved</div></body></html>"
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(20)] + [(100 + i, f"http://few{i}.example/", page(i)) for i in range(3)]
+    found = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(found[i] == f"Text {i} of this site.\nMore {i}." for i in range(20))
+    assert found[100].split("\n")[0] == "Home"  # one page tells nothing of its template
