@@ -24,43 +24,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector whose id is divisible by 50 against all others; nulls, repeats and empty tables as in :func:`topk.top_k`."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and copies of every document; nulls, repeats and empty tables as in :func:`mixing.mixture`."""
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token digests of every whole text; nulls, repeats and empty tables as in :func:`bpe.encode`."""
     return encoded_digests(table(spark, sf_dir, "documents"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; nulls, repeats and empty tables as in :func:`wrappers.extract`."""
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; nulls, repeats and empty tables as in :func:`quality_rules.quality_rules`."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("left_share")
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in every whole text; nulls, repeats and empty tables as in :func:`licences.licence_scan`."""
     return licence_scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text; nulls, repeats and empty tables as in :func:`pii.personal_data`."""
     return personal_data(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every whole text; nulls, repeats and empty tables as in :func:`rule_ensemble.quality_scores`."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC files against a spoilt replica; nulls, repeats and empty tables as in :func:`warc.fixity_audit`."""
     pages = table(spark, sf_dir, "pages")
     return warc.fixity_audit(pages, warc.bit_rot)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, repeats and empty tables as in :func:`simhash.near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
