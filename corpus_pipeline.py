@@ -15,24 +15,31 @@ from orbitweave.session import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents, and takes the lines above their host's limit out of the others."""
+    """Rejects documents, and takes the lines above their host's limit out of the others.
+
+    Null texts count as empty and are rejected; repeated rows are judged alike; an empty table gives no rows. All stages
+    pass columns of any name on.
+    """
     return cleaned_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate component; rows without an id only where it has no other. An empty table gives no rows."""
     return keep_one(docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data as their kinds in brackets; all rows stay, null texts as they are."""
     return masked(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Brings the shares of toxic and poor text down; sound documents all stay."""
+    """Brings the shares of toxic and poor text down; sound documents all stay, some rows may come more than once."""
     return mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole="sound")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token digests by row: doc_id, n_tokens, ids_sha256, decoded_sha256; null texts count as empty."""
     return encoded_digests(docs)
 
 
