@@ -29,8 +29,10 @@ TRAIN_ROWS = 20_000
 SIGNAL_WORDS = 64
 SIGNAL_DOCUMENTS = 5
 #: Rounds of the descent at most; it ends before where all targets are met within TOLERANCE (of a domain's tokens), or
-#: where a step moves no domain by more than STILL, as with targets out of reach.
-ROUNDS, TOLERANCE, STILL = 200, 1e-4, 1e-4
+#: where a step moves no domain by more than STILL times the largest miss, as with targets out of reach.
+ROUNDS, TOLERANCE, STILL = 30, 1e-4, 1e-3
+#: Plain steps before momentum comes in.
+PLAIN_ROUNDS = 12
 #: Distinct posteriors that a task of a round looks at, about.
 KINDS_PER_TASK = 50_000
 
@@ -174,7 +176,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], whole: str | None =
     ``members`` has __tokens and __posterior. The tokens wanted in all are those there are; with ``whole``, as many as
     let that domain keep its own. Each round asks the cluster for the domains' tokens and their curvature, 14 sums. A
     step by the curvature is kept where it takes three quarters off the squared miss; after one that doesn't, steps are
-    plain gradients with momentum, which starts afresh where the miss grows.
+    plain gradients, later with momentum, which starts afresh where the miss grows.
     """
     kinds = durable(members.groupBy("__posterior").agg(F.sum("__tokens").alias("tokens")))
     kinds = kinds.coalesce(-(-kinds.count() // KINDS_PER_TASK) or 1)
@@ -202,16 +204,16 @@ def fit_rates(members: DataFrame, targets: dict[str, float], whole: str | None =
             settled = True
             break
         gradient = np.linalg.lstsq(curve / scale[:, None], error, rcond=1e-8)[0] if by_curve else error
-        step = Step(0.0 if by_curve else k / (k + 3), tuple(gradient.tolist()))
+        step = Step(k / (k + 3) if len(steps) >= PLAIN_ROUNDS else 0.0, tuple(gradient.tolist()))
         mass, curve_then = look([*steps, step])
         then = miss(mass)
         if by_curve and not (then**2).sum() < 0.25 * (error**2).sum():
             by_curve = False
             continue
-        k = k + 1 if (then**2).sum() <= (error**2).sum() else 0
+        k = k + 1 if len(steps) >= PLAIN_ROUNDS and (then**2).sum() <= (error**2).sum() else 0
         moved = np.abs(then - error).max()
         steps, error, curve = [*steps, step], then, curve_then
-        if not by_curve and k > 2 and moved < STILL:
+        if not by_curve and k != 1 and moved < STILL * np.abs(error).max():
             settled = True
             break
     residual = float(np.abs(miss(look(steps, "rate")[0]) if steps and steps[-1].momentum else error).max())
