@@ -24,11 +24,14 @@ from orbitweave.session import durable, shared_dir
 
 #: Slots of a file, and children of a node. A file whose slots take more than CROWDED records each is split by hash.
 FILE_RECORDS, FANOUT, CROWDED = 256, 8, 4
+#: Rows of two numbers that are sent to all executors, at most.
+SENT_ROWS = 100_000
 #: Fixed value: the date in the records' headers, so that records depend on their pages alone.
 DATE = "2020-01-01T00:00:00Z"
 
 LENGTH = re.compile(rb"\r\nContent-Length: *([0-9]+)\r\n", re.I)
 RECORD_ID = re.compile(rb"\r\nWARC-Record-ID: *<([^>\r\n]*)>", re.I)
+TARGET = re.compile(rb"\r\nWARC-Target-URI: ?([^\r\n]*)", re.I)
 SLOT = re.compile(r"urn:page:(?:(-?[0-9]+)|none):([0-9a-f]{4})")
 
 
@@ -43,9 +46,11 @@ def with_names(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     by_hash = F.conv(F.substring("digest", 1, 4), 16, 10).cast("long")
     rows = rows.withColumn("of", F.coalesce(F.floor(F.col("page_id") / file_records), F.lit(-1))).withColumn("slot", F.coalesce(F.pmod("page_id", F.lit(file_records)), F.pmod(by_hash, F.lit(file_records))))
     n = rows.groupBy("of").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED * file_records)
-    parts = n.select("of", F.ceil(F.col("n") / (CROWDED * file_records)).alias("parts"))
+    parts = durable(n.select("of", F.ceil(F.col("n") / (CROWDED * file_records)).alias("parts")))
+    crowded = parts.count()  # pages meet the few crowded files where they are, and move for the join only if these are many
+    rows = rows.join(F.broadcast(parts) if crowded <= SENT_ROWS else parts, "of", "left") if crowded else rows.withColumn("parts", F.lit(None).cast("long"))
     part = F.pmod(F.xxhash64("digest"), F.coalesce("parts", F.lit(1)))
-    return rows.join(parts, "of", "left").select(
+    return rows.select(
         "page_id", "url", "html", F.format_string("f%d-%d", "of", part).alias("file"), "slot",
         F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), "digest").alias("id"),
     )
@@ -59,11 +64,15 @@ def record(named_id: Column, url: Column, body: Column) -> Column:
     )
 
 
-def write_warc(named: DataFrame, path: str) -> None:
-    """Writes the records of :func:`with_names` as gzipped WARC files under ``path``, a folder a file."""
+def write_warc(named: DataFrame, path: str, together: bool = False) -> None:
+    """Writes the records of :func:`with_names` as gzipped WARC files under ``path``, a folder a file.
+
+    With ``together`` the rows of each file are in one partition as they come, as :func:`read_pages` gives them.
+    """
     order = ["file", "slot", "id"]
     body = named.select(*order, record(F.col("id"), F.col("url"), F.col("html")).alias("value"))
-    body.repartition("file").sortWithinPartitions(*order, F.sha2("value", 256)).select("file", "value").write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    body = body if together else body.repartition("file")
+    body.sortWithinPartitions(*order, F.sha2("value", 256)).select("file", "value").write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def records_in(data: bytes) -> Iterator[tuple[str, int, int, str]]:
@@ -81,6 +90,33 @@ def records_in(data: bytes) -> Iterator[tuple[str, int, int, str]]:
         at = last
 
 
+def read_pages(spark: SparkSession, path: str, file_records: int = FILE_RECORDS) -> DataFrame:
+    """The rows of :func:`with_names` again, from the WARC files under ``path``; those of a file are in one partition. What is no record is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                file, data = b.column(0)[i].as_py(), _unpacked(b.column(1)[i].as_py())
+                rows = []
+                for name, first, last, _ in records_in(data):
+                    head, _, body = data[first:last].partition(b"\r\n\r\n")
+                    page, uri = SLOT.match(name), TARGET.search(head)
+                    if page and uri:
+                        rows.append((int(page[1]) if page[1] else None, uri[1].decode("utf-8", "replace"), body[:-4].decode("utf-8", "replace"), file, slot_of(name, file_records), name))
+                yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), *[pa.string()] * 3, pa.int64(), pa.string()))], ["page_id", "url", "html", "file", "slot", "id"])
+
+    return _files(spark, path).mapInArrow(run, "page_id long, url string, html string, file string, slot long, id string")
+
+
+def _unpacked(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", "/file=([^/]*)/[^/]*$", 1).alias("file"), "content")
+
+
 def slot_of(name: str, file_records: int) -> int:
     m = SLOT.match(name)
     return (int(m[1]) if m[1] else int(m[2], 16)) % file_records if m else 0
@@ -92,12 +128,11 @@ def read_warc(spark: SparkSession, path: str, file_records: int = FILE_RECORDS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                file, data = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                rows = [(file, slot_of(x[0], file_records), *x) for x in records_in(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
+                file, data = b.column(0)[i].as_py(), _unpacked(b.column(1)[i].as_py())
+                rows = [(file, slot_of(x[0], file_records), *x) for x in records_in(data)]
                 yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "slot", "id", "first", "last", "hash"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", "/file=([^/]*)/[^/]*$", 1).alias("file"), "content").mapInArrow(run, "file string, slot long, id string, first long, last long, hash string")
+    return _files(spark, path).mapInArrow(run, "file string, slot long, id string, first long, last long, hash string")
 
 
 def tree(records: DataFrame, file_records: int = FILE_RECORDS, fanout: int = FANOUT) -> DataFrame:
@@ -163,15 +198,16 @@ def audit_files(spark: SparkSession, left: str, right: str, file_records: int =
 
 
 def fixity_audit(pages: DataFrame, rot=None, file_records: int = FILE_RECORDS, fanout: int = FANOUT) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html; other columns are not read) as WARC files twice, the second time after ``rot``, and audits them.
+    """Writes ``pages`` (page_id, url, html; other columns are not read) as WARC files, these again after ``rot``, and audits both.
 
+    The replica is made from the files, file by file, so that pages are shuffled once.
     Null ids, urls and html, repeated rows and ids are records like any other; an empty table gives no rows.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    named = with_names(pages, file_records)
-    write_warc(named, f"{folder}/a")
-    write_warc(rot(named) if rot else named, f"{folder}/b")
+    write_warc(with_names(pages, file_records), f"{folder}/a")
+    copy = read_pages(spark, f"{folder}/a", file_records)
+    write_warc(rot(copy) if rot else copy, f"{folder}/b", together=True)
     return audit_files(spark, f"{folder}/a", f"{folder}/b", file_records, fanout)
 
 

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from orbitweave.llm import warc
 from orbitweave.llm.warc import audit_files, bit_rot, fixity_audit, read_warc, records_in, slot_of, with_names, write_warc
 
 
@@ -68,10 +69,18 @@ def test_records_in_another_file_are_moved(spark, tmp_path):
     assert (r.finding, r.file_a, r.file_b) == ("moved", "f1-0", "f0-0") and r.hash_a == r.hash_b
 
 
-def test_odd_rows(spark):
+def _joined(df, monkeypatch):
+    """The names where crowded files are too many to be sent."""
+    with monkeypatch.context() as m:
+        m.setattr(warc, "SENT_ROWS", 0)
+        return with_names(df, 4).collect()
+
+
+def test_odd_rows(spark, monkeypatch):
     rows = [(None, None, None), (None, "u", "z"), (1, None, "x"), (1, None, "x"), (2, "u", None), (2, "u", ""), (3, "u", "y" * 100000), (-4, "u", "\r\n\r\nWARC/1.1")]
     rows += [(7, "u", f"many {i}") for i in range(40)] + [(None, "u", f"none {i}") for i in range(40)]
     df = spark.createDataFrame([(*r, "a", "b") for r in rows], "page_id long, url string, html string, file string, slot string")
+    assert sorted(r.file for r in with_names(df, 4).collect()) == sorted(r.file for r in _joined(df, monkeypatch))
     named = with_names(df, 4)
     assert named.count() == len(rows) and max(r["count"] for r in named.groupBy("file").count().collect()) < 32
     assert fixity_audit(df, None, 4).collect() == []
