@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10, each over its whole table, and their SQL twins."""
+"""The queries of this subpackage: op1 to op13, each over its whole table, and their SQL twins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import quality_rules, topk, warc
+from orbitweave.llm import fill_in_middle, line_dedup, quality_rules, topk, warc
 from orbitweave.llm.bpe import encoded_digests
 from orbitweave.llm.licences import licence_scan
 from orbitweave.llm.mixing import mixture
@@ -74,12 +74,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and digests of every document; nulls, repeats and empty tables as in :func:`fill_in_middle.fill_in_middle`."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document and those it loses; nulls, repeats and empty tables as in :func:`line_dedup.line_dedup`."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_topk_search, op2_mixing, op3_bpe, op4_html_extraction, op5_quality_rules,
         op6_licence_scan, op7_pii, op8_quality_classifier, op9_warc_audit, op10_simhash_near_dedup,
+        op12_fill_in_middle, op13_line_dedup,
     )
 }
 
-SQL: dict[str, str] = {"op1_topk_search": topk.SQL, "op5_quality_rules": quality_rules.SQL, "op9_warc_audit": warc.SQL}
+SQL: dict[str, str] = {"op1_topk_search": topk.SQL, "op5_quality_rules": quality_rules.SQL, "op9_warc_audit": warc.SQL, "op12_fill_in_middle": fill_in_middle.SQL, "op13_line_dedup": line_dedup.SQL}
