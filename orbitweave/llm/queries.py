@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.llm import fill_in_middle, line_dedup, quality_rules, topk, warc
+from orbitweave.llm import conversation_repair, fill_in_middle, line_dedup, quality_rules, topk, warc
 from orbitweave.llm.bpe import encoded_digests
 from orbitweave.llm.licences import licence_scan
 from orbitweave.llm.mixing import mixture
@@ -74,6 +74,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired; nulls, repeats and empty tables as in :func:`conversation_repair.conversation_repair`."""
+    return conversation_repair.conversation_repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form and digests of every document; nulls, repeats and empty tables as in :func:`fill_in_middle.fill_in_middle`."""
     made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
@@ -92,7 +97,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_topk_search, op2_mixing, op3_bpe, op4_html_extraction, op5_quality_rules,
         op6_licence_scan, op7_pii, op8_quality_classifier, op9_warc_audit, op10_simhash_near_dedup,
-        op12_fill_in_middle, op13_line_dedup,
+        op11_conversation_repair, op12_fill_in_middle, op13_line_dedup,
     )
 }
 
