@@ -98,18 +98,25 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def boundary_index(texts: DataFrame) -> DataFrame:
-    """(key, text, bounds): each distinct text of ``texts`` (key, text) once, with its digest and the list of its token ends.
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(key, text): each distinct text of ``texts`` (key, text) once, with its digest.
 
     Texts of one digest are compared as they are grouped; two different ones would end the job.
     """
     one = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.lit("two texts of one digest")))
-    found = texts.groupBy("key").agg(F.collect_set("text").alias("texts")).select("key", one.alias("text"))
-    return found.withColumn("bounds", _bounds("text"))
+    return texts.groupBy("key").agg(F.collect_set("text").alias("texts")).select("key", one.alias("text"))
+
+
+def boundary_index(distinct: DataFrame) -> DataFrame:
+    """(key, bounds): the list of token ends of each of :func:`distinct_texts`."""
+    return distinct.select("key", _bounds("text").alias("bounds"))
 
 
 def _met(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, bounds) of each row, by its text's digest."""
+    """(doc_id, text, bounds) of each row, by its text's digest.
+
+    Texts are shuffled once: the join takes them as they were grouped, and the lists, which Python made, come beside them.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _digest(F.col("text")))
     slim = durable(rows.select("doc_id", "key"))
@@ -117,14 +124,16 @@ def _met(docs: DataFrame) -> DataFrame:
     large = max(PART_COPIES, slim.count() // parts)
     # fewer than ``parts`` keys can have so many rows: the list is small whatever the input
     hot = durable(slim.groupBy("key").count().filter(F.col("count") > large).select("key", F.ceil(F.col("count") / large).cast("int").alias("deal")))
-    index = boundary_index(rows.select("key", "text"))
+    texts = distinct_texts(rows.select("key", "text"))
+    few = F.broadcast(hot)
+    cold = slim if hot.isEmpty() else slim.join(few, "key", "left_anti")
+    found = cold.join(texts, "key").join(boundary_index(texts), "key").select("doc_id", "text", "bounds")
     if hot.isEmpty():
-        return slim.join(index, "key").select("doc_id", "text", "bounds")
-    cold = slim.join(F.broadcast(hot), "key", "left_anti").join(index, "key").select("doc_id", "text", "bounds")
-    dealt = slim.join(F.broadcast(hot), "key").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "deal").cast("int"))
-    of_hot = boundary_index(rows.join(F.broadcast(hot), "key", "left_semi").select("key", "text")).join(F.broadcast(hot), "key")
-    of_hot = of_hot.select("key", "text", "bounds", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("part"))
-    return cold.union(dealt.join(of_hot, ["key", "part"]).select("doc_id", "text", "bounds"))
+        return found
+    texts = distinct_texts(rows.join(few, "key", "left_semi").select("key", "text"))
+    index = texts.join(boundary_index(texts), "key").join(few, "key").select("key", "text", "bounds", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("part"))
+    dealt = slim.join(few, "key").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "deal").cast("int"))
+    return found.union(dealt.join(index, ["key", "part"]).select("doc_id", "text", "bounds"))
 
 
 def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE) -> DataFrame:

@@ -75,6 +75,6 @@ def test_empty_table(spark):
 
 
 def test_the_index_holds_each_text_once(spark):
-    texts = spark.createDataFrame([("a b",)] * 50 + [("c",), ("",)], "text string").withColumn("key", fim._digest(F.col("text")))
-    found = {r.text: fim.select(bytes(r.bounds), list(range(fim.size(bytes(r.bounds))))) for r in fim.boundary_index(texts).collect()}
-    assert found == {"a b": [1, 3], "c": [1], "": []} and fim.boundary_index(texts).count() == 3
+    texts = fim.distinct_texts(spark.createDataFrame([("a b",)] * 50 + [("c",), ("",)], "text string").withColumn("key", fim._digest(F.col("text"))))
+    found = sorted(fim.select(bytes(r.bounds), list(range(fim.size(bytes(r.bounds))))) for r in fim.boundary_index(texts).collect())
+    assert found == [[], [1], [1, 3]] and sorted(r.text for r in texts.collect()) == ["", "a b", "c"]
