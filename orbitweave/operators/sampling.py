@@ -38,13 +38,14 @@ def sample_records(df: DataFrame, keys: list[str], order: list[str], mode: str,
     raise ValueError(f"no sampling mode {mode!r}")
 
 
-def with_dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Adds the place of each row by ``key`` (distinct), from 0, without a window over the whole table.
+def with_dense_index(df: DataFrame, key: str | list[str], name: str) -> DataFrame:
+    """Adds the place of each row by ``key`` (one column or several, distinct), from 0, without a window over the whole table.
 
     Rows are range-partitioned by key and numbered in their part; parts are told apart by an id in key order, and the
     sizes of the parts before, one row a part, are added. The numbered rows are written once, so that both see the same parts.
     """
-    parts = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__id", F.monotonically_increasing_id())
+    keys = [key] if isinstance(key, str) else key
+    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
     parts = durable(parts.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))

@@ -87,14 +87,3 @@ def rounded_slot(ts: str, minutes: int) -> Column:
 def of_day_of_year(year: Column, day: Column, hours: Column) -> Column:
     """The timestamp of a year, day of year and fractional hour of day, to the second; days and hours may carry."""
     return F.make_date(year, F.lit(1), F.lit(1)).cast("timestamp_ntz") + F.make_dt_interval(days=day - 1, secs=F.round(hours * 3600).cast("decimal(18,6)"))
-
-
-def strided_scan(strides: Column) -> Column:
-    """The places, from 0, that a scan visits which goes on from place i by strides[i]."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("next"), F.array().cast("array<int>").alias("seen"))
-
-    def step(s: Column, stride: Column) -> Column:
-        here = s["at"] == s["next"]
-        return F.struct((s["at"] + 1).alias("at"), F.when(here, s["at"] + stride.cast("int")).otherwise(s["next"]).alias("next"), F.when(here, F.concat(s["seen"], F.array(s["at"]))).otherwise(s["seen"]).alias("seen"))
-
-    return F.aggregate(strides, start, step)["seen"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orbitweave.operators import spatial, temporal
 from orbitweave.plans.registry import LAT, LON, query, table
 from orbitweave.session import shared_dir
-from orbitweave.sources import files, sinks
+from orbitweave.sources import files, scan_catalogue, sinks
 
 r6 = lambda c: F.round(c, 6)
 #: Names of scan files made from the events: a channel, a platform, and the start of their hour.
@@ -173,3 +173,62 @@ def json_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_manifests(runs.withColumn("name", F.col("event_type")).select("name", "first", "count"), path)
     back = spark.read.text(path).select(F.col("value").alias("manifest"), F.from_json("value", "count long, name string").alias("m"))
     return back.select(F.col("m.name").alias("event_type"), "manifest", F.col("m.count").alias("n"))
+
+
+ASKED = "SELECT event_id, ts, 'G' || (16 + event_id % 2) AS platform FROM events WHERE value > 95"
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    scan_catalogue.write_catalogue(_scans(spark, sf_dir), path)
+    return path
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("value > 95")
+    return e.select("event_id", "ts", F.format_string("G%d", 16 + F.col("event_id") % 2).alias("platform"))
+
+
+@query(f"""SELECT event_id, count(*) AS scans, count(*) FILTER (s.platform = a.platform) AS own, min(scan_time) AS first_scan FROM ({ASKED}) a JOIN ({SCANS}) s
+  ON date_trunc('hour', scan_time) BETWEEN date_trunc('hour', ts) - INTERVAL 1 HOUR AND date_trunc('hour', ts) + INTERVAL 1 HOUR GROUP BY 1""")
+def scans_by_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scans of the hour before, of and after each request; only folders of asked hours are opened."""
+    asked = _asked(spark, sf_dir).withColumnRenamed("platform", "own_platform")
+    met = scan_catalogue.scans_by_request(spark, _catalogue(spark, sf_dir), asked, "ts")
+    return met.groupBy("event_id").agg(F.count("*").alias("scans"), F.count_if(F.col("platform") == F.col("own_platform")).alias("own"), F.min("scan_time").alias("first_scan"))
+
+
+@query(f"""WITH s AS (SELECT platform, scan_time FROM ({SCANS}) GROUP BY 1, 2 HAVING count(DISTINCT channel) >= 2),
+  p AS (SELECT event_id, scan_time, abs(epoch_us(ts) - epoch_us(scan_time)) AS apart FROM ({ASKED}) a JOIN s USING (platform) WHERE scan_time BETWEEN ts - INTERVAL 3000 SECOND AND ts + INTERVAL 3000 SECOND)
+  SELECT event_id, scan_time, apart FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY apart, scan_time) AS nth FROM p) WHERE nth = 1""")
+def nearest_requested_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest scan of a request's platform within 50 minutes that has two channels at least, from the folders of its candidate hours."""
+    found = scan_catalogue.nearest_complete(spark, _catalogue(spark, sf_dir), _asked(spark, sf_dir), "event_id", "ts", 2, 3000)
+    return found.select("event_id", "scan_time", F.col("abs_micros").alias("apart"))
+
+
+DAYS = f"SELECT DISTINCT platform, channel, dayofyear(scan_time)::INTEGER AS doy FROM ({SCANS})"
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Two archives with a folder for each day's scans of a channel group: the near one lacks every third day."""
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    folders = ["platform", "doy"]
+    keyed = _scans(spark, sf_dir).select("platform", F.dayofyear("scan_time").alias("doy"), "channel", "scan_time")
+    keyed.repartition(*folders).write.partitionBy(*folders).parquet(f"{path}/far")
+    keyed.filter("doy % 3 <> 0 AND NOT (platform = 'G17' AND doy % 4 = 1)").repartition(*folders).write.partitionBy(*folders).parquet(f"{path}/near")
+    return f"{path}/near", f"{path}/far"
+
+
+@query(f"SELECT DISTINCT platform, doy, CASE WHEN doy % 3 = 0 OR platform = 'G17' AND doy % 4 = 1 THEN 'far' ELSE 'near' END AS source FROM ({DAYS}) WHERE doy BETWEEN 2 AND 19")
+def listed_near_else_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of scans by the names of their folders, of the near archive, else of the far one; no file is opened."""
+    each = [scan_catalogue.listing(spark, p, "*.parquet").filter("doy BETWEEN 2 AND 19").select("platform", "doy").distinct().withColumn("source", F.lit(n)) for p, n in zip(_archives(spark, sf_dir), ("near", "far"))]
+    return files.local_first(*each, ["platform", "doy"])
+
+
+@query(f"SELECT doy, count(DISTINCT platform)::INTEGER AS have, CASE WHEN count(*) FILTER (platform = 'G16') = 0 THEN 'G16 ' ELSE '' END || CASE WHEN count(*) FILTER (platform = 'G17') = 0 THEN 'G17 ' ELSE '' END || 'G18' AS missing FROM ({DAYS}) WHERE doy % 3 <> 0 AND NOT (platform = 'G17' AND doy % 4 = 1) GROUP BY 1")
+def audited_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of three platforms each day of an archive lacks, by the listing of its folders."""
+    near, _ = _archives(spark, sf_dir)
+    return scan_catalogue.audited(scan_catalogue.listing(spark, near), ["doy"], "platform", ["G16", "G17", "G18"]).select("doy", "have", F.array_join("missing", " ").alias("missing"))

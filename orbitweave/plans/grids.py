@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitweave.functions import scaling
-from orbitweave.operators import arrays, metrics, spatial
+from orbitweave.operators import arrays, metrics, spatial, tiles
 from orbitweave.plans.registry import LAT, LON, query, table
+from orbitweave.session import shared_dir
+from orbitweave.sources import rasters
 
 r6 = lambda c: F.round(c, 6)
 #: A raster of 200 x 200 cells made from the events.
@@ -27,14 +31,18 @@ def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT r, c, event_id, value FROM ({CELLS}) WHERE r BETWEEN 40 AND 119 AND c BETWEEN 60 AND 99 AND event_type = 'click'")
 def hyperslab_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A window of rows and columns of one slice."""
-    return _cells(spark, sf_dir).filter("event_type = 'click' AND r BETWEEN 40 AND 119 AND c BETWEEN 60 AND 99").select("r", "c", "event_id", "value")
+    """A window of rows and columns of one slice: of a written raster the slice's folder, and there the window's tiles."""
+    path = f"{shared_dir(spark)}/raster-{uuid.uuid4().hex}"
+    rasters.write_raster(_cells(spark, sf_dir), path, ["event_type"])
+    return rasters.read_raster(spark, path, (40, 119), (60, 99)).filter("event_type = 'click'").select("r", "c", "event_id", "value")
 
 
 @query(f"SELECT r, c, count(*) AS n, max(value) AS top FROM ({CELLS}) WHERE r % 8 = 0 AND c % 8 = 0 GROUP BY 1, 2")
 def coarse_strided_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every eighth row and column, as a coarse search grid is defined."""
-    return _cells(spark, sf_dir).filter("r % 8 = 0 AND c % 8 = 0").groupBy("r", "c").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    """Every eighth row and column, as a coarse search grid is defined: of a written raster the levels that hold them."""
+    path = f"{shared_dir(spark)}/raster-{uuid.uuid4().hex}"
+    rasters.write_raster(_cells(spark, sf_dir).select("r", "c", "value"), path)
+    return rasters.read_raster(spark, path, (0, 199), (0, 199), 8).groupBy("r", "c").agg(F.count("*").alias("n"), F.max("value").alias("top"))
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'error') AND lower(trim(CASE WHEN event_id % 3 = 0 THEN ' TRUE' WHEN event_id % 3 = 1 THEN 'True ' ELSE 'no' END)) = 'true'")
@@ -119,8 +127,9 @@ def truth_by_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     truth = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey DIV 40").alias("r"), (F.col("c_custkey") % 40).alias("c")).agg(F.max((F.col("c_custkey") % 7).cast("int") - 1).alias("kind"), F.max("c_acctbal").alias("height"))
     e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") * 3 % 45).alias("r"), (F.col("event_id") * 7 % 45).alias("c"))
+    at_cells = tiles.gathered(e, tiles.packed(truth, ["kind", "height"]), ["kind", "height"])
     kind = F.coalesce(F.when(F.col("kind") >= 0, F.col("kind")), F.lit(-9))
-    m = e.join(truth, ["r", "c"], "left").select("user_id", kind.alias("kind"), F.when(F.col("kind") > 0, F.col("height")).alias("height"))
+    m = at_cells.select("user_id", kind.alias("kind"), F.when(F.col("kind") > 0, F.col("height")).alias("height"))
     return m.groupBy("user_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("kind") == -9).alias("filled"), r6(F.coalesce(F.median("height"), F.lit(0.0))).alias("median_height"),
         F.coalesce(F.mode(F.when(F.col("kind") > 0, F.col("kind")), True), F.lit(0)).alias("mode_kind"),
@@ -134,7 +143,8 @@ def raster_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _cells(spark, sf_dir)
     corner = x.groupBy("user_id").agg(F.min("r").alias("r0"), F.min("c").alias("c0"))
     g = x.filter("event_type = 'click'").groupBy("r", "c").agg(F.max("value").alias("v"))
-    return x.join(corner, "user_id").join(g, ["r", "c"]).select("user_id", "event_id", (F.col("r") - F.col("r0")).alias("i"), (F.col("c") - F.col("c0")).alias("j"), "v")
+    met = tiles.gathered(x.select("user_id", "event_id", "r", "c"), tiles.packed(g, ["v"]), ["v"]).filter("v IS NOT NULL")
+    return met.join(corner, "user_id").select("user_id", "event_id", (F.col("r") - F.col("r0")).alias("i"), (F.col("c") - F.col("c0")).alias("j"), "v")
 
 
 @query(f"SELECT user_id, count(DISTINCT r * 200 + c) FILTER (value > 50) AS labels, min(r * 200 + c) FILTER (value > 50) AS least FROM ({CELLS}) GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitweave.operators import metrics, sampling, temporal, tracking
+from orbitweave.operators import chains, metrics, sampling, tracking
 from orbitweave.plans.registry import query, table
 
 r6 = lambda c: F.round(c, 6)
@@ -23,10 +23,19 @@ PLACED = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_i
   SELECT e.user_id, e.event_id, e.pos FROM e JOIN v ON e.user_id = v.user_id AND e.pos = v.pos""")
 def variable_stride_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that a scan visits whose stride depends on what it meets."""
-    one = F.struct("ts", "event_id", F.when(F.col("event_type") == "click", 4).when(F.col("event_type") == "error", 9).otherwise(2).alias("stride"))
-    held = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(one)).alias("all"))
-    seen = held.select("user_id", "all", F.explode(temporal.strided_scan(F.col("all.stride"))).alias("pos"))
-    return seen.select("user_id", F.get("all", "pos")["event_id"].alias("event_id"), F.col("pos").cast("long").alias("pos"))
+    stride = F.when(F.col("event_type") == "click", 4).when(F.col("event_type") == "error", 9).otherwise(2)
+    return chains.reached(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], stride).select("user_id", "event_id", "pos")
+
+
+@query("""WITH o AS (SELECT list(CASE WHEN value < 30 THEN 0 WHEN value < 55 THEN 1 ELSE 2 END ORDER BY ts, event_id) AS kinds, list(event_id ORDER BY ts, event_id) AS ids FROM events),
+  r AS (SELECT ids, list_reduce(list_prepend({'k': 0, 'l': 0, 'h': 0, 's': ''}, list_transform(kinds, lambda k: {'k': k, 'l': 0, 'h': 0, 's': ''})), lambda a, x: {'k': x.k,
+    'l': a.l + CASE WHEN x.k = 1 AND 4 * a.l <= 5 * a.h THEN 1 ELSE 0 END, 'h': a.h + CASE WHEN x.k = 2 AND 4 * a.h <= 5 * a.l THEN 1 ELSE 0 END,
+    's': a.s || CASE WHEN x.k = 0 OR x.k = 1 AND 4 * a.l <= 5 * a.h OR x.k = 2 AND 4 * a.h <= 5 * a.l THEN '1' ELSE '0' END}).s AS picks FROM o)
+  SELECT event_id FROM (SELECT unnest(ids) AS event_id, unnest(string_split(picks, '')) AS pick FROM r) WHERE pick = '1'""")
+def balanced_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records taken in order of time: a middle or a high value only while its class is at most 5/4 of the other."""
+    value = F.col("value")
+    return chains.balanced_in_order(table(spark, sf_dir, "events").select("event_id", "ts", "value"), ["ts", "event_id"], (value >= 30) & (value < 55), value >= 55).select("event_id")
 
 
 @query(f"SELECT event_id, place, frame::INTEGER AS frame, ts + (frame - place) * INTERVAL 20 MINUTE AS frame_ts FROM (SELECT *, ({HASH} % 7)::INTEGER AS place FROM events WHERE event_type = 'signup'), generate_series(0, 6) g(frame)")
