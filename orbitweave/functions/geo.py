@@ -25,9 +25,14 @@ def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) ->
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def solar_zenith(day: Column, hour: Column, lat: Column, lon: Column) -> Column:
-    """Degrees between the sun and the vertical, by day of year and UTC hour, with Spencer's Fourier series."""
-    g = 2 * F.pi() / 365 * (day - 1 + (hour - 12) / 24)
+def year_days(ts: str) -> Column:
+    """Days of a timestamp's year."""
+    return F.dayofyear(F.make_date(F.year(ts), F.lit(12), F.lit(31)))
+
+
+def solar_zenith(day: Column, hour: Column, lat: Column, lon: Column, days: Column) -> Column:
+    """Degrees between the sun and the vertical, by day of year, UTC hour and days of the year, with Spencer's Fourier series."""
+    g = 2 * F.pi() / days * (day - 1 + (hour - 12) / 24)
     equation = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
     tilt = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
     angle = F.radians((hour * 60 + equation + 4 * lon) / 4 - 180)

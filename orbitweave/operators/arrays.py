@@ -19,9 +19,13 @@ def layer_mask(layers: Column, count: Column, bins: int, width: float, clip: boo
     else:
         ends = F.array_position(F.transform(layers, lambda x: x["base"] < 0), True)
         used = F.when(ends > 0, F.slice(layers, 1, F.greatest(ends.cast("int") - 1, F.lit(0)))).otherwise(layers)
-    spans = F.transform(used, lambda x, i: F.struct(i.alias("nth"), F.greatest(at(x["base"]), F.lit(0)).alias("first"), at(x["top"]).alias("last"), x["kind"].alias("kind")))
-    kind = lambda b: F.coalesce(F.array_max(F.filter(spans, lambda s: (s["first"] <= b) & (b <= s["last"])))["kind"], F.lit(0))
-    mask = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), kind)
+    spans = F.transform(used, lambda x: F.struct(F.greatest(at(x["base"]), F.lit(0)).alias("first"), F.least(at(x["top"]), F.lit(bins - 1)).alias("last"), x["kind"].cast("int").alias("kind")))
+
+    def over(mask: Column, s: Column) -> Column:
+        laid = F.concat(F.slice(mask, F.lit(1), s["first"]), F.array_repeat(s["kind"], s["last"] - s["first"] + 1), F.slice(mask, s["last"] + 2, F.lit(bins)))
+        return F.when(s["first"] <= s["last"], laid).otherwise(mask)
+
+    mask = F.aggregate(spans, F.array_repeat(F.lit(0), bins), over)
     return F.when(count < 0, F.array_repeat(F.lit(-1), bins)).otherwise(mask) if clip else mask
 
 
@@ -133,3 +137,25 @@ def zipped(a: Column, b: Column, names: tuple[str, str]) -> Column:
 def gather(a: Column, places: list[int]) -> Column:
     """The elements of an array at ``places``, from 0, in that order; null beyond its end."""
     return F.transform(F.array(*[F.lit(i) for i in places]), lambda i: F.get(a, i))
+
+
+def channels_first(a: Column, shape: Column, channels: int) -> Column:
+    """A row-major chip of (time, channels, rows, columns) from one whose channel axis its ``shape`` of four tells.
+
+    The second axis is it where it has ``channels`` places, else the last where that has; else the second where it has
+    more, else the last, and the first ``channels`` places are taken. NaN becomes 0. Raises where no axis fits.
+    """
+    dim = lambda i: F.get(shape, F.lit(i))
+    second = (dim(1) == channels) | ((dim(3) != channels) & (dim(1) > channels))
+    last = ~second & (dim(3) >= channels)
+    rows, cols = F.when(second, dim(2)).otherwise(dim(1)), F.when(second, dim(3)).otherwise(dim(2))
+
+    def source(i: Column) -> Column:
+        x, y, c, t = i % cols, F.floor(i / cols) % rows, F.floor(i / (rows * cols)) % channels, F.floor(i / (rows * cols * channels))
+        of_second = ((t * dim(1) + c) * dim(2) + y) * dim(3) + x
+        of_last = ((t * dim(1) + y) * dim(2) + x) * dim(3) + c
+        return F.when(second, of_second).otherwise(of_last).cast("int")
+
+    values = F.transform(F.sequence(F.lit(0), dim(0) * channels * rows * cols - 1), lambda i: F.nanvl(F.get(a, source(i)), F.lit(0.0)))
+    bad = F.raise_error(F.concat(F.lit(f"no axis of {channels} channels in "), shape.cast("string")))
+    return F.when((F.size(shape) == 4) & (second | last), values).otherwise(bad.cast("array<double>"))

@@ -24,18 +24,55 @@ def error_metrics(df: DataFrame, by: list[str], pred: str, target: str, value_ra
     return sums.withColumn("rmse", F.sqrt("mse")).withColumn("psnr", psnr(F.col("mse"), value_range))
 
 
-def global_ssim(df: DataFrame, by: list[str], x: str, y: str, value_range: float, weight: Column | None = None) -> DataFrame:
-    """Structural similarity of each group from its means and population (co)variances, rows weighted where ``weight`` is given."""
+def _ssim(mx: Column, my: Column, vx: Column, vy: Column, cxy: Column, value_range: float) -> Column:
     c1, c2 = (0.01 * value_range) ** 2, (0.03 * value_range) ** 2
+    top = (2 * mx * my + c1) * (2 * cxy + c2)
+    return top / F.greatest((mx * mx + my * my + c1) * (vx + vy + c2), F.lit(1e-12))
+
+
+def reconstruction_metrics(df: DataFrame, by: list[str], frame: list[str], pred: str, target: str, masked: Column, value_range: float) -> DataFrame:
+    """Of masked, visible and all rows of each group: count, mse, rmse, mae, bias, psnr and ssim; and the means of both columns.
+
+    Similarity is of each frame, with the group's rows of one ``frame``, and its mean is given; a frame without rows of a
+    kind counts as 1, as its means and variances are 0. Errors without rows are 0. Sums and centred moments come from one
+    aggregate by group and frame, and a second of a row a frame.
+    """
+    value_range = max(value_range, 1e-6)
+    p, t = F.col(pred).cast("double"), F.col(target).cast("double")
+    on, sums, outs = {"masked": masked, "visible": ~masked, "full": F.lit(True)}, [], []
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    for r, m in on.items():
+        a, b = F.when(m, p), F.when(m, t)
+        e = a - b
+        similar = _ssim(zero(F.avg(a)), zero(F.avg(b)), zero(F.var_pop(a)), zero(F.var_pop(b)), zero(F.covar_pop(a, b)), value_range)
+        sums += [F.count(e).alias(f"{r}_n"), F.sum(e * e).alias(f"{r}_sse"), F.sum(F.abs(e)).alias(f"{r}_sae"), F.sum(e).alias(f"{r}_se"), similar.alias(f"{r}_ssim")]
+        n = F.greatest(F.sum(f"{r}_n"), F.lit(1))
+        mse = zero(F.sum(f"{r}_sse")) / n
+        outs += [F.sum(f"{r}_n").alias(f"{r}_count"), mse.alias(f"{r}_mse"), F.sqrt(mse).alias(f"{r}_rmse"), (zero(F.sum(f"{r}_sae")) / n).alias(f"{r}_mae"), (zero(F.sum(f"{r}_se")) / n).alias(f"{r}_bias"),
+                 psnr(mse, value_range).alias(f"{r}_psnr"), F.avg(f"{r}_ssim").alias(f"{r}_ssim")]
+    frames = df.groupBy(*by, *frame).agg(*sums, F.sum(t).alias("__t"), F.sum(p).alias("__p"))
+    n = F.greatest(F.sum("full_n"), F.lit(1))
+    return frames.groupBy(*by).agg(*outs, (F.sum("__t") / n).alias("target_mean"), (F.sum("__p") / n).alias("prediction_mean"))
+
+
+def global_ssim(df: DataFrame, by: list[str], x: str, y: str, value_range: float, weight: Column | None = None) -> DataFrame:
+    """Structural similarity of each group from its means and population (co)variances, rows weighted where ``weight`` is given.
+
+    Weighted moments are centred by the weighted means in a second pass; weights that add up to less than 1 count as 1.
+    """
     if weight is None:
         s = df.groupBy(*by).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
-    else:
-        a, b = F.col(x).cast("double"), F.col(y).cast("double")
-        mean = lambda v: F.sum(weight * v) / F.sum(weight)
-        s = df.groupBy(*by).agg(mean(a).alias("mx"), mean(b).alias("my"), mean(a * a).alias("xx"), mean(b * b).alias("yy"), mean(a * b).alias("xy"))
-        s = s.withColumn("vx", F.col("xx") - F.col("mx") ** 2).withColumn("vy", F.col("yy") - F.col("my") ** 2).withColumn("cxy", F.col("xy") - F.col("mx") * F.col("my"))
-    top = (2 * F.col("mx") * F.col("my") + c1) * (2 * F.col("cxy") + c2)
-    return s.select(*by, (top / ((F.col("mx") ** 2 + F.col("my") ** 2 + c1) * (F.col("vx") + F.col("vy") + c2))).alias("ssim"))
+        return s.select(*by, _ssim(*[F.col(c) for c in ("mx", "my", "vx", "vy", "cxy")], value_range).alias("ssim"))
+    mean = lambda v: F.sum(weight * v) / F.greatest(F.sum(weight), F.lit(1.0))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    keys = [F.col(c).alias(f"__{c}") for c in by]
+    means = df.groupBy(*keys).agg(mean(a).alias("__mx"), mean(b).alias("__my"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    da, db = a - F.col("__mx"), b - F.col("__my")
+    s = df.join(means, same).groupBy(*by, "__mx", "__my").agg(mean(da * da).alias("__vx"), mean(db * db).alias("__vy"), mean(da * db).alias("__cxy"))
+    return s.select(*by, _ssim(*[F.col(f"__{c}") for c in ("mx", "my", "vx", "vy", "cxy")], value_range).alias("ssim"))
 
 
 def regression_metrics(df: DataFrame, by: list[str], pred: str, target: str, wet: float) -> DataFrame:

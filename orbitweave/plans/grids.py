@@ -153,14 +153,13 @@ def distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).groupBy("user_id").agg(F.count_distinct(label).alias("labels"), F.min(label).alias("least"))
 
 
-PROFILES = "SELECT l_orderkey, (l_orderkey % 5 - 1)::INTEGER AS n, list({'ord': l_linenumber * 1000000 + l_partkey, 'base': l_discount * 100 - 2, 'top': l_discount * 100 - 2 + l_quantity / 5, 'kind': (l_suppkey % 8 + 1)::INTEGER} ORDER BY l_linenumber * 1000000 + l_partkey, l_suppkey, l_quantity, l_discount) AS layers FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1, 2"
+PROFILES = "SELECT l_orderkey, (l_orderkey % 5 - 1)::INTEGER AS n, list({'ord': l_linenumber * 1000000 + l_partkey, 'base': l_discount * 100 - 2, 'top': l_discount * 100 - 2 + l_quantity / 5, 'kind': (l_suppkey % 8 + 1)::INTEGER} ORDER BY l_linenumber * 1000000 + l_partkey, l_suppkey, l_quantity, l_discount) AS layers FROM lineitem GROUP BY 1, 2"
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("l_discount") * 100 - 2
     layer = F.struct((F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), "l_suppkey", "l_quantity", "l_discount", base.alias("base"), (base + F.col("l_quantity") / 5).alias("top"), (F.col("l_suppkey") % 8 + 1).cast("int").alias("kind"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
-    return lines.groupBy("l_orderkey", (F.col("l_orderkey") % 5 - 1).cast("int").alias("n")).agg(F.sort_array(F.collect_list(layer)).alias("layers"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_orderkey") % 5 - 1).cast("int").alias("n")).agg(F.sort_array(F.collect_list(layer)).alias("layers"))
 
 
 @query(f"""WITH p AS ({PROFILES}), b AS (SELECT l_orderkey, n, bin, list_filter(list_transform(list_filter(layers[1:greatest(n, 0)], lambda x: x.base >= 0), lambda x, i: {{'i': i, 'a': floor(x.base / 0.5), 'z': floor(x.top / 0.5), 'k': x.kind}}), lambda x: x.a <= bin AND bin <= x.z) AS hit FROM p, generate_series(0, 39) g(bin))
@@ -210,17 +209,19 @@ def patches_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("vec_id", "patch", "place", row.alias("r"), col.alias("c"), "x")
 
 
-@query(f"""WITH k AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY (vec_id * 64 + i) * 2654435761 % 4294967296, i) > 16 AS masked FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS i FROM embeddings WHERE vec_id < 20))
-  SELECT vec_id, t::INTEGER AS t, i // 8 * 4 + y AS r, i % 8 * 4 + x AS c, masked::INTEGER AS masked FROM k, generate_series(0, 1) a(t), generate_series(0, 3) b(y), generate_series(0, 3) d(x)""")
+@query("""WITH k AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY (vec_id * 64 + i) * 2654435761 % 4294967296, i) > 16 AS masked FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS i FROM embeddings)),
+  p AS (SELECT vec_id, t::INTEGER AS t, i // 8 * 4 + y AS r, i % 8 * 4 + x AS c, masked::INTEGER AS masked FROM k, generate_series(0, 1) a(t), generate_series(0, 3) b(y), generate_series(0, 3) d(x))
+  SELECT vec_id, t, r, string_agg(masked::VARCHAR, '' ORDER BY c) AS pixels FROM p GROUP BY 1, 2, 3""")
 def token_mask_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mask of 8 x 8 tokens a sample, the same at all times, spread over the tokens' pixels."""
-    tokens = table(spark, sf_dir, "embeddings").filter("vec_id < 20").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    """One mask of 8 x 8 tokens a sample, the same at all times, spread over the tokens' pixels; a row of pixels as text."""
+    tokens = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     noise = F.struct(F.pmod((F.col("vec_id") * 64 + F.col("i")) * 2654435761, F.lit(4294967296)), "i")
     mask = arrays.rank_mask(tokens, ["vec_id"], noise, 0.75)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     pixels = mask.withColumn("t", each(2)).withColumn("y", each(4)).withColumn("x", each(4))
     row, col = arrays.unpatched(F.col("i"), F.col("y") * 4 + F.col("x"), 4, 32)
-    return pixels.select("vec_id", "t", row.alias("r"), col.cast("long").alias("c"), "masked")
+    pixels = pixels.select("vec_id", "t", row.alias("r"), F.struct(col.alias("c"), "masked").alias("p"))
+    return pixels.groupBy("vec_id", "t", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["masked"].cast("string")), "").alias("pixels"))
 
 
 @query("""WITH t AS (SELECT user_id, event_type AS grp, event_id FROM events), n AS (SELECT *, event_id * 2654435761 % 4294967296 AS noise FROM t)
@@ -233,13 +234,13 @@ def masks_shared_and_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.rank_mask(shared, ["user_id", "grp"], noise, 0.75).withColumnRenamed("masked", "own")
 
 
-@query(f"SELECT vec_id, i % 16 AS channel, round(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0 END, 6) AS scaled FROM (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi FROM {LONG} WINDOW w AS (PARTITION BY vec_id, i % 16)) WHERE i // 16 = 1")
+@query(f"SELECT vec_id, i // 16 AS step, i % 16 AS channel, round(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0 END, 6) AS scaled FROM (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi FROM {LONG} WINDOW w AS (PARTITION BY vec_id, i % 16))")
 def tile_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each image's channels to [0, 1] by their own extremes; constant ones to 0. The second time step is shown."""
+    """Each image's channels to [0, 1] by their own extremes; constant ones to 0."""
     by = Window.partitionBy("vec_id", "channel")
     x = _long(spark, sf_dir).withColumn("channel", F.col("i") % 16)
     scaled = x.withColumn("scaled", r6(scaling.min_max(F.col("x"), F.min("x").over(by), F.max("x").over(by))))
-    return scaled.filter("i DIV 16 = 1").select("vec_id", "channel", "scaled")
+    return scaled.select("vec_id", F.expr("i DIV 16").cast("int").alias("step"), "channel", "scaled")
 
 
 @query(f"SELECT i AS dim, min(v) AS low, max(v) AS high, count(v) AS n FROM (SELECT i, CASE WHEN (vec_id + i) % 5 <> 0 THEN round(x, 6) END AS v FROM {LONG}) GROUP BY 1")
@@ -317,3 +318,28 @@ def latitude_level_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     level, k = (F.col("event_id") % 40).cast("int"), F.abs(F.cos(F.expr(LAT).cast("double") / 1.5))
     tier = F.when(level >= k * 20, 1).when(level >= k * 14, 2).when(level >= 5, 3).otherwise(4)
     return table(spark, sf_dir, "events").select("event_id", level.alias("level"), tier.alias("tier"))
+
+
+CHIPS = "SELECT vec_id, (vec_id % 4)::INTEGER AS kind, [[2, 4, 2, 4], [4, 2, 2, 4], [2, 8, 2, 2], [2, 2, 2, 8]][vec_id % 4 + 1] AS s, embedding::DOUBLE[] AS e FROM embeddings"
+
+
+@query(f"""SELECT vec_id, t * 4 + k AS t_channel, r, c, round(CASE WHEN kind IN (0, 2) THEN e[1 + ((t * s[2] + k) * s[3] + r) * s[4] + c] ELSE e[1 + ((t * s[2] + r) * s[3] + c) * s[4] + k] END, 6) AS x
+  FROM (SELECT *, CASE WHEN kind IN (0, 2) THEN s[3] ELSE s[2] END AS rows, CASE WHEN kind IN (0, 2) THEN s[4] ELSE s[3] END AS cols FROM ({CHIPS})), generate_series(0, 3) a(t), generate_series(0, 3) b(k), generate_series(0, 3) d(r), generate_series(0, 3) f(c) WHERE t < s[1] AND r < rows AND c < cols""")
+def chip_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chips whose shape tells where the four channels are: second, last, first four of eight in either place; all with channels second."""
+    shapes = F.array(*[F.array(*[F.lit(n) for n in s]) for s in ((2, 4, 2, 4), (4, 2, 2, 4), (2, 8, 2, 2), (2, 2, 2, 8))])
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.get(shapes, (F.col("vec_id") % 4).cast("int")).alias("s"))
+    second = (F.col("vec_id") % 2 == 0)
+    wide = F.when(second, F.get("s", F.lit(3))).otherwise(F.get("s", F.lit(2)))
+    area = wide * F.when(second, F.get("s", F.lit(2))).otherwise(F.get("s", F.lit(1)))
+    flat = e.select("vec_id", wide.alias("wide"), area.alias("area"), F.posexplode(arrays.channels_first(F.col("e"), F.col("s"), 4)).alias("i", "x"))
+    at = lambda x: F.floor(x).cast("long")
+    return flat.select("vec_id", at(F.col("i") / F.col("area")).alias("t_channel"), at(F.col("i") % F.col("area") / F.col("wide")).alias("r"), (F.col("i") % F.col("wide")).cast("long").alias("c"), r6("x").alias("x"))
+
+
+@query("SELECT l_linenumber, round(min(k), 4) AS low, round(max(k), 4) AS high, count(k) AS n FROM (SELECT l_linenumber, CASE WHEN l_suppkey % 7 <> 0 THEN (1392.74 / ln(10803.3 / greatest(l_quantity, 1e-6) + 1) - 0.0755) / 0.99975 END AS k FROM lineitem) GROUP BY 1")
+def calibrated_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and greatest brightness temperature of a channel; readings of some sources are NaN and left out after calibration."""
+    radiance = F.when(F.col("l_suppkey") % 7 == 0, float("nan")).otherwise(F.col("l_quantity"))
+    k = F.when(~F.isnan(radiance), scaling.brightness_temperature(radiance, 10803.3, 1392.74, 0.0755, 0.99975))
+    return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.round(F.min(k), 4).alias("low"), F.round(F.max(k), 4).alias("high"), F.count(k).alias("n"))

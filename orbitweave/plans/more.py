@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitweave.operators import arrays, metrics, sampling, spatial, temporal, tracking
+from orbitweave.functions import scaling
+from orbitweave.operators import arrays, metrics, sampling, spatial, states, temporal, tracking
 from orbitweave.plans.registry import query, table
+from orbitweave.session import shared_dir
+from orbitweave.sources import files, sinks
 
 r6 = lambda c: F.round(c, 6)
 CELL = "(event_id * 37) % 200"
@@ -108,10 +113,79 @@ def formatted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.format_string("%s_%08d_%s", "event_type", "event_id", F.date_format("ts", "yyyyMMddHHmm")).alias("name"), doy.alias("doy"), day.cast("string").alias("day"))
 
 
-@query("SELECT l_partkey, replace(replace(lower(p_name), '-', '_'), ' ', '_') AS alias, (l_partkey // 32) * 32 + 16 AS tile FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01' EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) JOIN part ON l_partkey = p_partkey")
+@query("SELECT l_partkey, replace(replace(lower(p_name), '-', '_'), ' ', '_') AS alias, (l_partkey // 32) * 32 + 16 AS tile FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01') JOIN part ON l_partkey = p_partkey")
 def alias_and_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised names and tile centres of the parts in a set difference: shipped early, never in large lots."""
+    """Normalised names and tile centres of the parts in a set difference: shipped early, and never late."""
     lines = table(spark, sf_dir, "lineitem")
-    early, large = lines.filter("l_shipdate < TIMESTAMP_NTZ'1993-01-01 00:00:00'").select("l_partkey"), lines.filter("l_quantity >= 50").select("l_partkey")
+    early, late = lines.filter("l_shipdate < TIMESTAMP_NTZ'1998-01-01 00:00:00'").select("l_partkey"), lines.filter("l_shipdate >= TIMESTAMP_NTZ'2001-01-01 00:00:00'").select("l_partkey")
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return early.subtract(large).join(names, "l_partkey").select("l_partkey", F.translate(F.lower("p_name"), "- ", "__").alias("alias"), (F.floor(F.col("l_partkey") / 32) * 32 + 16).alias("tile"))
+    return early.subtract(late).join(names, "l_partkey").select("l_partkey", F.translate(F.lower("p_name"), "- ", "__").alias("alias"), (F.floor(F.col("l_partkey") / 32) * 32 + 16).alias("tile"))
+
+
+@query("SELECT c_custkey, i::INTEGER AS dim, ((c_custkey * 4 + i + 42) * 2654435761 % 4294967296) / 4294967296.0::DOUBLE AS x FROM customer, generate_series(0, 3) g(i)")
+def synthetic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in vectors that each customer's key draws."""
+    made = files.synthetic(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 4)
+    return made.select("c_custkey", F.posexplode("vector").alias("dim", "x"))
+
+
+@query("SELECT o_orderkey, o_orderstatus || '|' || o_orderpriority AS of_order, o_custkey, round(o_totalprice, 2) AS price FROM orders")
+def grouped_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that share a prefix as one struct, and read from it."""
+    held = sinks.grouped_by_prefix(table(spark, sf_dir, "orders"), {"o_order": "by_order", "o_": "rest"})
+    return held.select(F.col("by_order.key").alias("o_orderkey"), F.concat_ws("|", "by_order.status", "by_order.priority").alias("of_order"), F.col("rest.custkey").alias("o_custkey"), F.round("rest.totalprice", 2).alias("price"))
+
+
+@query("SELECT doc_id, length(text) AS n, 'none' AS title, source AS origin FROM documents")
+def optional_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns under the first of several names that the table has, or a default."""
+    d = table(spark, sf_dir, "documents")
+    body, title, origin = files.first_present(d, ["body", "text"]), files.first_present(d, ["title", "headline"], F.lit("none")), files.first_present(d, ["source", "lang"])
+    return d.select("doc_id", F.length(body).cast("long").alias("n"), title.alias("title"), origin.alias("origin"))
+
+
+@query("SELECT l_returnflag, CASE WHEN l_extendedprice / 10 < 100 THEN 'surface' WHEN l_extendedprice / 10 < 5000 THEN 'low' ELSE 'high' END AS tag, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def height_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", scaling.height_tag(F.col("l_extendedprice") / 10).alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, event_type, bool_and(event_id % 3 > 0) AS created, count(*) FILTER (event_id % 3 = 0 OR NOT seen) AS written FROM (SELECT *, bool_or(event_id % 3 = 0) OVER (PARTITION BY user_id, event_type) AS seen FROM events) GROUP BY 1, 2")
+def write_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs into one place: the second creates the keys that the first, of every third record, had not, and skips the others."""
+    path = f"{shared_dir(spark)}/once-{uuid.uuid4().hex}"
+    e, keys = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"]
+    sinks.write_new(e.filter("event_id % 3 = 0"), path, keys)
+    second = sinks.write_new(e, path, keys).select(*keys, "created")
+    there = sinks.read_written(spark, path).groupBy(*keys).agg(F.count("*").alias("written"))
+    return second.join(there, keys)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of two runs, each of which reads only the files that it adds."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_type", "value", (F.col("event_id") % 100).cast("double").alias("pred"), (F.col("event_id") % 2 == 0).alias("masked"), "event_id")
+    one = lambda rows, file: states.band_states(rows, ["event_type", file], "pred", "value", F.col("masked"))
+    for part in ("event_id % 3 = 0", "event_id % 3 > 0"):
+        e.filter(part).write.mode("append").parquet(f"{path}/rows")
+        states.add_new_files(spark, f"{path}/rows", f"{path}/states", one)
+    return states.merged(spark.read.parquet(f"{path}/states"), ["event_type"])
+
+
+@query("""SELECT event_type, count(*) FILTER (m) AS masked_count, round(avg(e * e) FILTER (m), 5) AS masked_mse, round(avg(e) FILTER (m), 6) AS masked_bias, count(*) FILTER (NOT m) AS visible_count, round(avg(abs(e)) FILTER (NOT m), 6) AS visible_mae, round(sqrt(avg(e * e)), 6) AS full_rmse,
+  round(10 * log10(1e4 / avg(e * e)), 6) AS full_psnr, round(avg(value), 6) AS target_mean, min(value) AS low, max(value) AS high FROM (SELECT *, event_id % 100 - value AS e, event_id % 2 = 0 AS m FROM events) GROUP BY 1""")
+def incremental_band_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band metrics and extremes from the states of two runs, as one run over all rows gives them."""
+    m = states.band_report(_runs(spark, sf_dir), ["event_type"], 100.0)
+    return m.select("event_type", "masked_count", F.round("masked_mse", 5).alias("masked_mse"), r6("masked_bias").alias("masked_bias"), "visible_count", *[r6(c).alias(c) for c in ("visible_mae", "full_rmse", "full_psnr", "target_mean")], "low", "high")
+
+
+@query("SELECT event_type, p AS share, count(*) AS n, true AS near FROM events, (SELECT unnest([2, 25, 50, 75, 98])::INTEGER AS p) GROUP BY 1, 2")
+def sketched_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from the merged sketches of two runs: whether the rank of each among all values is within twice the stated error."""
+    shares = [2, 25, 50, 75, 98]
+    found = _runs(spark, sf_dir).select("event_type", F.posexplode(F.array(*states.quantiles("sketch", [p / 100 for p in shares]))).alias("i", "q"))
+    all_of = table(spark, sf_dir, "events").select("event_type", "value").join(F.broadcast(found), "event_type")  # five rows a type, and five types
+    ranks = all_of.groupBy("event_type", "i").agg(F.count("*").alias("n"), F.avg((F.col("value") < F.col("q")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("q")).cast("double")).alias("upto"))
+    share = F.element_at(F.array(*[F.lit(p) for p in shares]), F.col("i") + 1)
+    near = (F.col("below") <= share / 100 + 2 * states.RANK_ERROR) & (F.col("upto") >= share / 100 - 2 * states.RANK_ERROR)
+    return ranks.select("event_type", share.alias("share"), "n", near.alias("near"))

@@ -196,6 +196,37 @@ def per_sample_band_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _error_rows(spark, sf_dir, ["l_suppkey", "l_returnflag"])
 
 
+def _reconstruction(by: str, frame: str) -> str:
+    kinds = {"masked": "(l_linenumber % 2 = 1)", "visible": "(l_linenumber % 2 = 0)", "full": "true"}
+    each = lambda f: ", ".join(f(r, m) for r, m in kinds.items())
+    moments = each(lambda r, m: f"""count(e) FILTER ({m}) AS {r}_n, sum(e * e) FILTER ({m}) AS {r}_sse, sum(abs(e)) FILTER ({m}) AS {r}_sae, sum(e) FILTER ({m}) AS {r}_se, coalesce(avg(p) FILTER ({m}), 0) AS {r}_mp, coalesce(avg(t) FILTER ({m}), 0) AS {r}_mt,
+      coalesce(var_pop(p) FILTER ({m}), 0) AS {r}_vp, coalesce(var_pop(t) FILTER ({m}), 0) AS {r}_vt, coalesce(covar_pop(p, t) FILTER ({m}), 0) AS {r}_c""")
+    ssim = each(lambda r, _: f"avg((2 * {r}_mp * {r}_mt + 1e6) * (2 * {r}_c + 9e6) / (({r}_mp * {r}_mp + {r}_mt * {r}_mt + 1e6) * ({r}_vp + {r}_vt + 9e6))) AS {r}_ssim")
+    sums = each(lambda r, _: f"sum({r}_n)::BIGINT AS {r}_count, coalesce(sum({r}_sse), 0) / greatest(sum({r}_n), 1) AS {r}_mse, coalesce(sum({r}_sae), 0) / greatest(sum({r}_n), 1) AS {r}_mae, coalesce(sum({r}_se), 0) / greatest(sum({r}_n), 1) AS {r}_bias")
+    out = each(lambda r, _: f"{r}_count, round({r}_mse, 2) AS {r}_mse, round(sqrt({r}_mse), 5) AS {r}_rmse, round({r}_mae, 5) AS {r}_mae, round({r}_bias, 5) AS {r}_bias, round(10 * log10(1e10 / greatest({r}_mse, 1e-12)), 6) AS {r}_psnr, round({r}_ssim, 6) AS {r}_ssim")
+    return f"""SELECT {by}, {out}, round(target_mean, 5) AS target_mean, round(prediction_mean, 5) AS prediction_mean FROM (SELECT {by}, {sums}, {ssim}, sum(ts) / sum(full_n) AS target_mean, sum(ps) / sum(full_n) AS prediction_mean FROM (
+      SELECT {by}, {frame} AS frame, {moments}, sum(t) AS ts, sum(p) AS ps FROM (SELECT *, l_quantity * p_retailprice AS p, l_extendedprice AS t, l_quantity * p_retailprice - l_extendedprice AS e FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY {by}, {frame}) GROUP BY {by})"""
+
+
+def _reconstruction_rows(spark: SparkSession, sf_dir: str, by: list[str], frame: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    rows = table(spark, sf_dir, "lineitem").join(part, "l_partkey").withColumn("pred", F.col("l_quantity") * F.col("p_retailprice")).withColumn("frame", F.expr(frame))
+    m = metrics.reconstruction_metrics(rows, by, ["frame"], "pred", "l_extendedprice", F.col("l_linenumber") % 2 == 1, 1e5)
+    digits = lambda c: 2 if c.endswith("_mse") else 6 if c.endswith(("psnr", "ssim")) else 5
+    return m.select(*[c if c in by or c.endswith("_count") else F.round(c, digits(c)).alias(c) for c in m.columns])
+
+
+@query(_reconstruction("l_returnflag", "l_suppkey"))
+def reconstruction_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statistic of masked, visible and all rows of a band, similarity as the mean over suppliers."""
+    return _reconstruction_rows(spark, sf_dir, ["l_returnflag"], "l_suppkey")
+
+
+@query(_reconstruction("l_suppkey, l_returnflag", "l_orderkey % 3"))
+def reconstruction_by_sample_and_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconstruction_rows(spark, sf_dir, ["l_suppkey", "l_returnflag"], "l_orderkey % 3")
+
+
 @query("""SELECT l_linestatus, round((2 * mx * my + 1e6) * (2 * cxy + 9e6) / ((mx * mx + my * my + 1e6) * (vx + vy + 9e6)), 6) AS ssim FROM (
   SELECT l_linestatus, avg(l_extendedprice) AS mx, avg(l_quantity * 1000) AS my, var_pop(l_extendedprice) AS vx, var_pop(l_quantity * 1000) AS vy, covar_pop(l_extendedprice, l_quantity * 1000) AS cxy FROM lineitem GROUP BY 1)""")
 def global_ssim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,12 +389,14 @@ def haversine_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.along_track(points, ["user_id"], ["ts", "event_id"], "lat", "lon").groupBy("user_id").agg(F.round(F.max("track_km"), 3).alias("km"))
 
 
-@query(f"""WITH p AS (SELECT event_id, ({LAT})::DOUBLE AS lat, ({LON})::DOUBLE AS lon, hour(ts) + minute(ts) / 60.0::DOUBLE AS h, 2 * pi() / 365 * (dayofyear(ts) - 1 + (hour(ts) + minute(ts) / 60.0::DOUBLE - 12) / 24) AS g FROM events),
+@query(f"""WITH p AS (SELECT event_id, ({LAT})::DOUBLE AS lat, ({LON})::DOUBLE AS lon, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 3.6e9::DOUBLE AS h, 2 * pi() / dayofyear(make_date(year(ts), 12, 31)) * (dayofyear(ts) - 1 + ((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 3.6e9::DOUBLE - 12) / 24) AS g FROM events),
   q AS (SELECT *, 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) AS eq, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS tilt FROM p)
   SELECT event_id, round(degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin(tilt) + cos(radians(lat)) * cos(tilt) * cos(radians((h * 60 + eq + 4 * lon) / 4 - 180)))))), 4) AS sza FROM q""")
 def solar_zenith(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hour = F.hour("ts") + F.minute("ts") / 60.0
-    return table(spark, sf_dir, "events").select("event_id", F.round(geo.solar_zenith(F.dayofyear("ts"), hour, F.expr(LAT).cast("double"), F.expr(LON).cast("double")), 4).alias("sza"))
+    """By the time of day to the microsecond, and the length of the time's own year."""
+    hour = F.expr("timestampdiff(MICROSECOND, date_trunc('DAY', ts), ts)") / 3.6e9
+    sza = geo.solar_zenith(F.dayofyear("ts"), hour, F.expr(LAT).cast("double"), F.expr(LON).cast("double"), geo.year_days("ts"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(sza, 4).alias("sza"))
 
 
 @query(f"""WITH p AS (SELECT event_id, radians(({LAT})::DOUBLE) AS p, radians(({LON})::DOUBLE) AS q FROM events), n AS (SELECT *, 1 / 298.257223563 * (2 - 1 / 298.257223563) AS e2, 6378137.0 / sqrt(1 - (1 / 298.257223563 * (2 - 1 / 298.257223563)) * pow(sin(p), 2)) AS n FROM p),
@@ -427,15 +460,17 @@ def rank_noise_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays.rank_mask(table(spark, sf_dir, "events"), ["user_id"], noise, 0.75).select("user_id", "event_id", "masked")
 
 
-@query("SELECT i // 64 AS r, i % 64 AS c, (i // 64 // 8) * 8 + (i % 64) // 8 AS patch, (i // 64 % 8) * 8 + i % 8 AS place FROM range(4096) t(i)")
+@query("SELECT event_id, r, c, (r // 8) * 8 + c // 8 AS patch, (r % 8) * 8 + c % 8 AS place FROM (SELECT event_id, event_id // 64 % 64 AS r, event_id % 64 AS c FROM events)")
 def patchify_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.range(4096).select(F.floor(F.col("id") / 64).alias("r"), (F.col("id") % 64).alias("c"))
+    cells = table(spark, sf_dir, "events").select("event_id", F.expr("event_id DIV 64 % 64").alias("r"), (F.col("event_id") % 64).alias("c"))
     return arrays.patches(cells, "r", "c", 8, 64)
 
 
-@query("SELECT p AS position, i::INTEGER AS dim, round(CASE WHEN i < 8 THEN sin(p / pow(10000.0, i / 8)) ELSE cos(p / pow(10000.0, (i - 8) / 8)) END, 6) AS value FROM range(50) t(p), generate_series(0, 15) g(i)")
+@query("SELECT conv_id, turn, i::INTEGER AS dim, round(CASE WHEN i < 8 THEN sin(turn / pow(10000.0, i / 8)) ELSE cos(turn / pow(10000.0, (i - 8) / 8)) END, 6) AS value FROM conversations, generate_series(0, 15) g(i)")
 def sincos_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(50).select(F.col("id").alias("position"), F.posexplode(arrays.sincos(F.col("id"), 16)).alias("dim", "v")).select("position", "dim", r6("v").alias("value"))
+    """Every turn's place in its conversation as 16 sines and cosines."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(arrays.sincos(F.col("turn"), 16)).alias("dim", "v"))
+    return turns.select("conv_id", "turn", "dim", r6("v").alias("value"))
 
 
 @query("""SELECT user_id, center::INTEGER AS center, round(mean, 6) AS mean, low FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS center, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER w AS mean, min(value) OVER w AS low FROM events

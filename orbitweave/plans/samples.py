@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitweave.operators import chains, metrics, sampling, tracking
 from orbitweave.plans.registry import query, table
+from orbitweave.session import shared_dir
+from orbitweave.sources import staged
 
 r6 = lambda c: F.round(c, 6)
 HASH = "event_id * 2654435761 % 4294967296"
@@ -46,11 +50,11 @@ def event_at_random_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "place", "frame", (F.col("ts") + F.make_dt_interval(mins=(F.col("frame") - F.col("place")) * 20)).alias("frame_ts"))
 
 
-@query("SELECT event_id, f::INTEGER AS step, dy, dx, ts + f * INTERVAL 20 MINUTE AS frame_ts FROM events, generate_series(-7, 6) g(f), (SELECT unnest([0, -512, 512, 0, 0]) AS dy, unnest([0, 0, 0, -512, 512]) AS dx) WHERE event_type = 'signup' AND event_id % 4 = 0")
+@query("SELECT event_id, f::INTEGER AS step, dy, dx, ts + f * INTERVAL 20 MINUTE AS frame_ts FROM events, generate_series(-7, 6) g(f), (SELECT unnest([0, -512, 512, 0, 0]) AS dy, unnest([0, 0, 0, -512, 512]) AS dx) WHERE event_type = 'signup'")
 def frames_by_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """14 frames around an event at each of five places around its own."""
     places = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in ((0, 0), (-512, 0), (512, 0), (0, -512), (0, 512))])
-    e = table(spark, sf_dir, "events").filter("event_type = 'signup' AND event_id % 4 = 0").select("event_id", "ts", F.explode(F.sequence(F.lit(-7), F.lit(6))).alias("step"))
+    e = table(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id", "ts", F.explode(F.sequence(F.lit(-7), F.lit(6))).alias("step"))
     return e.select("event_id", "step", (F.col("ts") + F.make_dt_interval(mins=F.col("step") * 20)).alias("frame_ts"), F.inline(places))
 
 
@@ -84,9 +88,10 @@ def sorted_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 3 ORDER BY user_id, n LIMIT 40")
 def limit_across_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three records of each group, groups in order, until 40 are there: the limit is the feature."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").withColumn("n", n).filter("n <= 3").orderBy("user_id", "n").limit(40).select("user_id", "event_id")
+    """Three records of each group, groups in order, until 40 are there: the limit is the feature, and files beyond it stay closed."""
+    path = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    staged.write_ordered(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), path, ["user_id"], ["ts", "event_id"])
+    return staged.first_of_groups(spark, path, ["user_id"], ["ts", "event_id"], 3, 40).select("user_id", "event_id")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 100")

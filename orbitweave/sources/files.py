@@ -59,7 +59,7 @@ def missing_members(df: DataFrame, keys: list[str], member: str, required: list[
     return have.select(*keys, missing.alias("missing")).filter(F.size("missing") > 0)
 
 
-def synthetic(spark: SparkSession, rows: int, dim: int, seed: int = 42) -> DataFrame:
-    """(id, vector) of hashed numbers in [0, 1), the same in every run and partitioning."""
-    value = lambda i: F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
-    return spark.range(rows).withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value))
+def synthetic(df: DataFrame, key: str, dim: int, seed: int = 42) -> DataFrame:
+    """``df`` with ``vector``: ``dim`` numbers in [0, 1) drawn from each row's whole-number key, the same in every run and partitioning."""
+    value = lambda i: F.pmod((F.col(key).cast("long") * dim + i + seed) * F.lit(2654435761), F.lit(1 << 32)) / float(1 << 32)
+    return df.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value))

@@ -175,7 +175,7 @@ def test_scalars(spark):
     near = lambda c: one.select(c).first()[0]
     assert abs(near(geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(90.0))) - 6371 * 3.141592653589793 / 2) < 1e-6
     assert near(geo.view_zenith(F.lit(0.0), F.lit(-75.0), -75.0)) < 1e-4
-    assert near(geo.solar_zenith(F.lit(80), F.lit(12.0), F.lit(0.0), F.lit(0.0))) < 4
+    assert near(geo.solar_zenith(F.lit(80), F.lit(12.0), F.lit(0.0), F.lit(0.0), F.lit(365))) < 4
     assert near(geo.normalise_longitude(F.lit(190.0))) == -170
     flags = spark.createDataFrame([("True",), (" true ",), ("False",), (None,)], "f string")
     assert [r[0] for r in flags.select(scaling.is_true(F.col("f"))).collect()] == [True, True, False, None]
@@ -210,7 +210,7 @@ def test_metadata_files_and_missing_members(spark, tmp_path):
     assert row.inside_inner_disk is True and row.file == "m.csv" and row.datetime == T(2020, 1, 1, 0, 20)
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "k string, m string")
     assert [tuple(r) for r in files.missing_members(df, ["k"], "m", ["x", "y"]).collect()] == [("b", ["y"])]
-    assert files.synthetic(spark, 3, 4).collect() == files.synthetic(spark, 3, 4).repartition(3).orderBy("id").collect()
+    assert files.synthetic(spark.range(3), "id", 4).collect() == files.synthetic(spark.range(3).repartition(3), "id", 4).orderBy("id").collect()
 
 
 def test_stream_gives_the_closed_windows(spark, tmp_path):
