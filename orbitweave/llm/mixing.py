@@ -2,9 +2,9 @@
 
 A naive Bayes classifier, fitted on the labelled rows, gives each document soft membership of domains. Projected gradient
 descent finds nonnegative rates so that the domains' expected tokens meet their targets in the least-squares sense, each
-domain's miss taken relative to its tokens. In the metric that weighs a rate by its document's tokens the step 1 descends
-safely, and a document's rate follows from its posteriors alone, so each round is one small aggregate. Steps are scaled by
-the curvature as long as that pays, afterwards they carry momentum.
+domain's miss taken relative to its tokens and weighted by them. In the metric that weighs a rate by its document's tokens
+the gradient of a rate is the product of its document's posteriors with the misses, so a round is a few sums over distinct
+posteriors. Rates are a column beside these, written each round; rounds go on until nothing is gained.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ TRAIN_ROWS = 20_000
 #: Words that tell labels apart, at most, and the labelled documents in which one must stand.
 SIGNAL_WORDS = 64
 SIGNAL_DOCUMENTS = 5
-#: Rounds of the descent at most; it ends before where all targets are met within TOLERANCE (of a domain's tokens), or
-#: where a step moves no domain by more than STILL times the largest miss, as with targets out of reach.
-ROUNDS, TOLERANCE, STILL = 30, 1e-4, 1e-3
-#: Plain steps before momentum comes in.
-PLAIN_ROUNDS = 12
+#: The descent ends where all targets are met within TOLERANCE (of a domain's tokens), or where two rounds in turn take less
+#: than this share off the squared miss, as with targets out of reach.
+TOLERANCE, STILL = 1e-4, 1e-4
+#: Lengths of step that a round tries, along the curvature (with its small directions cut off) and along the gradient.
+CURVED, CUTS, PLAIN = (8.0, 1.0, 0.3, 0.1), (1e-10, 1e-4, 1e-2), tuple(8.0**i for i in range(6))
 #: Distinct posteriors that a task of a round looks at, about.
 KINDS_PER_TASK = 50_000
+#: Rows of one posterior that are not dealt out, however few rows there are in all.
+HOT_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -129,97 +131,81 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
     return df.drop("__looks", "__scores", "__raised")
 
 
-def _dot(posterior: Column, vector: list[float]) -> Column:
-    return sum((F.get(posterior, F.lit(k)) * F.lit(v) for k, v in enumerate(vector)), F.lit(0.0))
-
-
-@dataclass(frozen=True)
-class Step:
-    """Subtracts posterior * ``gradient``, cuts at zero, and goes on by ``momentum`` times the change."""
-
-    momentum: float
-    gradient: tuple[float, ...]
-
-
 @dataclass(frozen=True)
 class Fit:
-    """The steps from rates of 1, the largest miss of a domain relative to its tokens, and whether the rounds sufficed."""
+    """(__posterior, n, rate) of the distinct posteriors, the largest miss of a domain relative to its tokens, the rounds, and whether they sufficed."""
 
-    steps: tuple[Step, ...]
+    rates: DataFrame
     residual: float
+    rounds: int
     settled: bool
 
 
-def _rate_and_lead(steps: list[Step] | tuple[Step, ...], posterior: Column) -> Column:
-    """A struct of a document's rate after ``steps`` and of where the next step begins."""
-    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("lead"))
-    if not steps:
-        return start
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in (s.momentum, *s.gradient)]) for s in steps])
-
-    def after(at: Column, step: Column) -> Column:
-        product = sum((F.get(posterior, F.lit(k)) * F.get(step, F.lit(k + 1)) for k in range(len(DOMAINS))), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), at["lead"] - product)
-        return F.struct(rate.alias("rate"), (rate + F.get(step, F.lit(0)) * (rate - at["rate"])).alias("lead"))
-
-    return F.aggregate(table, start, after)
-
-
-def rate_after(steps: list[Step] | tuple[Step, ...], posterior: Column) -> Column:
-    """A document's rate after ``steps``."""
-    return _rate_and_lead(steps, posterior)["rate"]
-
-
-def fit_rates(members: DataFrame, targets: dict[str, float], whole: str | None = None, rounds: int = ROUNDS) -> Fit:
-    """The steps that take all rates from 1 to the least-squares fit of ``targets`` (shares, by domain).
+def fit_rates(members: DataFrame, targets: dict[str, float], whole: str | None = None, rounds: int | None = None) -> Fit:
+    """Rates from 1 on to the least-squares fit of ``targets`` (shares, by domain); ``rounds`` at most, if given.
 
     ``members`` has __tokens and __posterior. The tokens wanted in all are those there are; with ``whole``, as many as
-    let that domain keep its own. Each round asks the cluster for the domains' tokens and their curvature, 14 sums. A
-    step by the curvature is kept where it takes three quarters off the squared miss; after one that doesn't, steps are
-    plain gradients, later with momentum, which starts afresh where the miss grows.
+    let that domain keep its own. A round asks the cluster for the curvature over the rates that may move, tries steps of
+    several lengths along it and along the gradient in one aggregate, each cut at zero, and takes the best. A rate at zero
+    that the gradient would lower stays out of steps along the curvature.
     """
-    kinds = durable(members.groupBy("__posterior").agg(F.sum("__tokens").alias("tokens")))
+    p, ks = [F.get("__posterior", F.lit(k)) for k in range(len(DOMAINS))], range(len(DOMAINS))
+    kinds = durable(members.groupBy("__posterior").agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).withColumn("rate", F.lit(1.0)))
     kinds = kinds.coalesce(-(-kinds.count() // KINDS_PER_TASK) or 1)
-    p, ks = F.col("__posterior"), range(len(DOMAINS))
-
-    def look(steps: list[Step], at: str = "lead") -> tuple[np.ndarray, np.ndarray]:
-        sums = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
-        rated = kinds.withColumn("at", _rate_and_lead(steps, p)[at])
-        mine = [F.get(p, F.lit(k)) * F.col("tokens") for k in ks]
-        free = F.when(F.col("at") > 0, 1.0).otherwise(0.0)
-        row = rated.agg(*[sums(mine[k] * F.col("at")) for k in ks], *[sums(mine[i] * F.get(p, F.lit(j)) * free) for i in ks for j in ks]).first()
-        return np.array(row[: len(DOMAINS)], float), np.array(row[len(DOMAINS) :], float).reshape(len(DOMAINS), -1)
-
-    have, curve = look([])
+    total_of = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    names = [f"v{k}" for k in ks]
+
+    def beside(rows: list[tuple]) -> DataFrame:
+        """Each kind with each of a few rows of (i, curved, e by domain, v by domain): as data, so that the code of all rounds is compiled once."""
+        cells = lambda r: ", ".join([f"{r[0]} AS i", f"{str(r[1]).lower()} AS curved", *[f"{float(x)!r}D AS e{k}" for k, x in zip(ks, r[2])], *[f"{float(x)!r}D AS {n}" for n, x in zip(names, r[3])]])
+        each = kinds.selectExpr("__posterior", "n", "tokens", "rate", f"inline(array({', '.join(f'struct({cells(r)})' for r in rows)}))")
+        held = (F.col("rate") <= 0) & (sum((p[k] * F.col(f"e{k}") for k in ks), F.lit(0.0)) > 0)
+        after = F.greatest(F.lit(0.0), F.col("rate") - sum((p[k] * F.col(names[k]) for k in ks), F.lit(0.0)))
+        return each.withColumn("held", held).withColumn("after", F.when(F.col("held") & F.col("curved"), 0.0).otherwise(after))
+
+    have = np.array(kinds.agg(*[total_of(p[k] * F.col("tokens")) for k in ks]).first(), float)
     share = np.array([targets.get(d, 0.0) for d in DOMAINS]) / max(sum(targets.values()), 1e-300)
     total = have.sum()
     if whole is not None and targets.get(whole, 0) > 0:
         total = have[DOMAINS.index(whole)] / share[DOMAINS.index(whole)]
     scale = np.where(have > 0, have, 1.0)
     miss = lambda mass: np.where(have > 0, (mass - share * total) / scale, 0.0)
-    steps: list[Step] = []
-    error, by_curve, k, settled = miss(have), True, 0, False
-    for _ in range(rounds):
-        if np.abs(error).max() < TOLERANCE:
-            settled = True
-            break
-        gradient = np.linalg.lstsq(curve / scale[:, None], error, rcond=1e-8)[0] if by_curve else error
-        step = Step(k / (k + 3) if len(steps) >= PLAIN_ROUNDS else 0.0, tuple(gradient.tolist()))
-        mass, curve_then = look([*steps, step])
-        then = miss(mass)
-        if by_curve and not (then**2).sum() < 0.25 * (error**2).sum():
-            by_curve = False
-            continue
-        k = k + 1 if len(steps) >= PLAIN_ROUNDS and (then**2).sum() <= (error**2).sum() else 0
-        moved = np.abs(then - error).max()
-        steps, error, curve = [*steps, step], then, curve_then
-        if not by_curve and k != 1 and moved < STILL * np.abs(error).max():
-            settled = True
-            break
-    residual = float(np.abs(miss(look(steps, "rate")[0]) if steps and steps[-1].momentum else error).max())
+    squared = lambda e: float((scale / scale.sum() * e**2).sum())
+    error, k, still = miss(have), 0, 0
+    while (settled := np.abs(error).max() < TOLERANCE or still == 2) is False and (rounds is None or k < rounds):
+        free = F.when(F.col("held"), 0.0).otherwise(F.col("tokens"))
+        curve = np.array(beside([(0, True, error, error)]).agg(*[total_of(p[i] * p[j] * free) for i in ks for j in ks]).first(), float).reshape(len(ks), -1)
+        root = np.sqrt(scale)
+        along = [np.linalg.lstsq(curve / scale[:, None] * root[:, None], error * root, rcond=cut)[0] for cut in CUTS]
+        steps = [(True, a * g) for g in along for a in CURVED] + [(False, a * error) for a in PLAIN]
+        tried = beside([(i, curved, error, v) for i, (curved, v) in enumerate(steps)]).groupBy("i").agg(*[total_of(p[k] * F.col("tokens") * F.col("after")) for k in ks])
+        masses = {r[0]: np.array(r[1:], float) for r in tried.collect()}
+        masses = [masses.get(i, np.zeros(len(ks))) for i in range(len(steps))]
+        best = min(range(len(steps)), key=lambda i: squared(miss(masses[i])))
+        before, then = squared(error), miss(masses[best])
+        k, still = k + 1, still + 1 if squared(then) > before * (1 - STILL) else 0
+        if squared(then) < before:
+            kinds, error = durable(beside([(best, steps[best][0], error, steps[best][1])]).select("__posterior", "tokens", "n", F.col("after").alias("rate"))), then
+    residual = float(np.abs(error).max())
     if not settled:
         warnings.warn(f"the rates did not settle in {rounds} rounds; a domain misses its target by {residual:.4f} of its tokens", stacklevel=2)
-    return Fit(tuple(steps), residual, settled)
+    return Fit(durable(kinds.select("__posterior", "n", "rate")), residual, k, bool(settled))
+
+
+def with_rates(rows: DataFrame, fit: Fit) -> DataFrame:
+    """``rows`` (with __posterior) and their ``rate``. Posteriors that many rows share are sent to all tasks, and their rows dealt out."""
+    hot = fit.rates.join(F.broadcast(hot_keys_of(fit.rates)), "__posterior", "left_semi")
+    met = rows.join(F.broadcast(hot.select("__posterior", F.col("rate").alias("__hot_rate"))), "__posterior", "left")
+    apart = F.when(F.col("__hot_rate").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))).cast("int")
+    own = fit.rates.select("__posterior", F.col("rate").alias("__own_rate"), F.lit(0).alias("__apart"))
+    return met.withColumn("__apart", apart).join(own, ["__posterior", "__apart"], "left").withColumn("rate", F.coalesce("__hot_rate", "__own_rate")).drop("__hot_rate", "__own_rate", "__apart")
+
+
+def hot_keys_of(rates: DataFrame) -> DataFrame:
+    """Posteriors of more rows than a shuffle partition's share of all, and than HOT_ROWS: fewer than there are partitions."""
+    parts = int(rates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = max(HOT_ROWS, (rates.agg(F.sum("n")).first()[0] or 0) // parts)
+    return durable(rates.filter(F.col("n") > large).select("__posterior"))
 
 
 def _copies(rate: Column) -> Column:
@@ -239,9 +225,9 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     model = fit_domains(docs, labels)
     scored = durable(with_posteriors(docs.select("doc_id", "text"), model, ["doc_id"]))  # a few numbers a document, so that texts are read once
     fit = fit_rates(scored, targets or TARGETS, whole)
-    rate = rate_after(fit.steps, F.col("__posterior"))
     cells = [F.get("__posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return scored.select("doc_id", F.col("__tokens").alias("n_tokens"), *cells, rate.alias("rate")).withColumn("copies", _copies(F.col("rate"))).withColumn("residual", F.lit(fit.residual))
+    rated = with_rates(scored, fit).select("doc_id", F.col("__tokens").alias("n_tokens"), *cells, "rate")
+    return rated.withColumn("copies", _copies(F.col("rate"))).withColumn("residual", F.lit(fit.residual))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, whole: str | None = None) -> DataFrame:
@@ -253,7 +239,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     model = fit_domains(docs, labels)
     scored = with_posteriors(docs.select("doc_id", "text", F.struct("*").alias("row")), model, ["doc_id", "row"])
     fit = fit_rates(scored.drop("row"), targets or TARGETS, whole)
-    copies = _copies(rate_after(fit.steps, F.col("__posterior")))
+    scored = with_rates(scored, fit)
+    copies = _copies(F.col("rate"))
     if whole is not None:
         likeliest = F.array_position("__posterior", F.array_max("__posterior")) == DOMAINS.index(whole) + 1
         copies = F.when(likeliest, F.greatest(copies, F.lit(1))).otherwise(copies)

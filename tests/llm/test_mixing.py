@@ -4,16 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbitweave.llm.mixing import DOMAINS, fit_rates, mixed, mixture, rate_after
-from orbitweave.session import durable
-
-
-def plain_rates(p, steps):
-    rate = lead = np.ones(len(p))
-    for s in steps:
-        before, rate = rate, np.maximum(0, lead - p @ np.array(s.gradient))
-        lead = rate + s.momentum * (rate - before)
-    return rate
+from orbitweave.llm import mixing
+from orbitweave.llm.mixing import DOMAINS, fit_rates, mixed, mixture, with_rates
 
 
 def plain_descent(p, tokens, share, total, rounds):
@@ -30,16 +22,28 @@ def test_rates_fit_at_least_as_well_as_a_long_plain_descent(spark, spread):
     rng = np.random.default_rng(3)
     p = np.round(rng.dirichlet([spread] * 4, 300), 6)
     tokens = rng.integers(1, 500, 300)
-    df = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p)], "__tokens long, __posterior array<double>")
+    df = spark.createDataFrame([(i, int(t), [float(x) for x in row]) for i, (t, row) in enumerate(zip(tokens, p))], "i int, __tokens long, __posterior array<double>")
     targets = {"sound": 0.6, "poor": 0.3, "poor_toxic": 0.1}
     fit = fit_rates(df, targets)
-    got = np.array([r.r for r in durable(df).select(rate_after(fit.steps, F.col("__posterior")).alias("r")).collect()])
-    assert (got >= 0).all() and np.allclose(got, plain_rates(p, fit.steps), atol=1e-9)
+    got = np.array([r.rate for r in with_rates(df, fit).orderBy("i").collect()])
+    assert len(got) == 300 and (got >= 0).all() and fit.settled
     share, have = np.array([targets.get(d, 0) for d in DOMAINS]), p.T @ tokens
     miss = lambda r: (p.T @ (tokens * r) - share * have.sum()) / have
     assert abs(np.abs(miss(got)).max() - fit.residual) < 1e-9
-    assert (miss(got) ** 2).sum() < (miss(plain_descent(p, tokens, share, have.sum(), 24)) ** 2).sum() + 1e-6
-    assert fit.residual < 0.2
+    squared = lambda r: (have / have.sum() * miss(r) ** 2).sum()
+    assert squared(got) < 1.25 * squared(plain_descent(p, tokens, share, have.sum(), 50_000)) + 1e-9
+    assert squared(got) < squared(plain_descent(p, tokens, share, have.sum(), 20_000))
+
+
+def test_rows_of_hot_posteriors_get_their_rate(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HOT_ROWS", 5)
+    rows = [(i, 10, [0.0, 0.0, 1.0, 0.0] if i % 3 else [0.5, round(0.001 * i, 6), 0.25, 0.1]) for i in range(100)] + [(i, 10, [1.0, 0.0, 0.0, 0.0]) for i in range(100, 103)]
+    df = spark.createDataFrame(rows, "i int, __tokens long, __posterior array<double>").repartition(3)
+    fit = fit_rates(df, {"sound": 0.5, "poor": 0.5})
+    rates = {tuple(r["__posterior"]): r.rate for r in fit.rates.collect()}
+    assert mixing.hot_keys_of(fit.rates).count() == 1
+    got = {r.i: r.rate for r in with_rates(df, fit).collect()}
+    assert got == {i: rates[tuple(v)] for i, _, v in rows}
 
 
 def test_rounds_that_do_not_suffice_are_told(spark):
