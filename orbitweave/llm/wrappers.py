@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as markup
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,15 +41,49 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: An open element of the key is closed by the start of one of the value.
 CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+)|([^\s=/]+)")
 WORD = re.compile(r"[a-z]+|[0-9]+")
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of a page's tags; what is no text otherwise, with what raw elements hold, has no name.
+
+    One pass forward: where a tag that begins outside of quotes ends is known beforehand for each place, from the last
+    to the first, so that tags that never end cost nothing. A tag without an end is text.
+    """
+    places = [m.start() for m in SPECIAL.finditer(page)]
+    ends, after = [-1] * (len(places) + 1), {}
+    for k in range(len(places) - 1, -1, -1):
+        c = page[places[k]]
+        if c == ">":
+            ends[k] = places[k] + 1
+        else:
+            ends[k] = ends[after[c] + 1] if c in after else -1
+            after[c] = k
+    last, at = page.rfind(">"), 0
+    while m := OPEN.search(page, at):
+        start, stop = m.span()
+        at = start + 1
+        if m[1]:
+            found = page.find("-->", stop)
+            at = found + 3 if found >= 0 else len(page)
+            yield start, at, False, "", ""
+        elif m[3] and (end := ends[bisect_left(places, stop)]) >= 0:
+            tag, at = m[3].lower(), end
+            if not m[2] and tag in ENDS and (page[stop] in "/>" or page[stop].isspace()):
+                closing = ENDS[tag].search(page, end)
+                at = closing.end() if closing else len(page)
+                yield start, at, False, "", ""
+            else:
+                yield start, at, bool(m[2]), tag, page[stop : end - 1]
+        elif (m[2] or not m[3]) and start + 2 <= last:
+            at = page.find(">", start + 2) + 1
+            yield start, at, False, "", ""
+
+
 class Node:
     """An element of the block tree; inline elements leave their text to the block around them."""
 
@@ -87,27 +122,26 @@ def blocks_of(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             at.home.children.append(leaf)
             texts.append((leaf, text))
 
-    for m in TAG.finditer(page):
-        if place < m.start() and not barred_inline:
-            parts.append(markup.unescape(page[place : m.start()]))
-        place = m.end()
-        if m["raw"] or not m["tag"]:
+    for start, end, closes, tag, inner in tags(page):
+        if place < start and not barred_inline:
+            parts.append(markup.unescape(page[place:start]))
+        place = end
+        if not tag:
             continue
-        tag = m["tag"].lower()
         if tag == "br":
             parts.append(" ")
         elif tag not in BLOCKS:
             if barred_inline:
                 if tag == barred_inline[0]:
-                    barred_inline.append(tag) if not m["end"] else barred_inline.pop()
-            elif not m["end"] and tag not in VOID:
-                attrs = _attributes(m["attrs"])
+                    barred_inline.append(tag) if not closes else barred_inline.pop()
+            elif not closes and tag not in VOID:
+                attrs = _attributes(inner)
                 if _is_barred(tag, attrs, at.inside):
                     barred_inline.append(tag)
         else:
             barred_inline.clear()
             flush()
-            if m["end"]:
+            if closes:
                 up = at
                 while up is not root and up.tag != tag:
                     up = up.parent
@@ -116,7 +150,7 @@ def blocks_of(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             else:
                 while at is not root and tag in CLOSES.get(at.tag, ()):
                     at = at.parent
-                attrs = _attributes(m["attrs"]) if m["attrs"] else {}
+                attrs = _attributes(inner) if inner else {}
                 name = " ".join(x for x in (attrs.get("class", ""), attrs.get("id", "")) if x)
                 inside = at.inside or tag in ("article", "main") or attrs.get("role", "").lower() == "main"
                 node = Node(f"{tag}.{name}" if name else tag, tag, at, at.barred or _is_barred(tag, attrs, at.inside), inside)

@@ -3,6 +3,9 @@ import random
 import re
 import time
 
+import pytest
+
+from orbitweave.llm import wrappers
 from orbitweave.llm.wrappers import Aligner, blocks_of, extract, main_text, match, shape, size_of
 
 
@@ -120,3 +123,28 @@ def test_the_template_decides_where_pages_have_no_marks(spark):
     found = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert all(found[i] == f"Text {i} of this site.\nMore {i}." for i in range(20))
     assert found[100].split("\n")[0] == "Home"  # one page tells nothing of its template
+
+
+#: The rule of tags as one pattern, which takes quadratic time on tags that never end.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(wrappers.RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    re.S | re.I,
+)
+
+
+def test_tags_are_those_of_the_pattern():
+    rng = random.Random(12)
+    bits = ["<", ">", "/", "\"", "'", "<!--", "-->", "<script", "</script>", "<SCRIPT >", "</script ", "<p", "<p>", "</p>", "<a href=", "<!x", "<?", "</", " ", "x", "=", "<title/>", "</title>", "<b-1:c", "-", "\n"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        want = [(m.start(), m.end(), bool(m["end"]), (m["tag"] or "").lower(), m["attrs"] or "") for m in TAG.finditer(page)]
+        assert list(wrappers.tags(page)) == want, page
+
+
+@pytest.mark.parametrize("bit", ["<script ", "<a href=\"", "<b ", "<p x='", "</", "</p ", "<!", "<!--", "<", "<script>", "<div>", "\"<p", "&amp;<i title=\"'>"])
+def test_malformed_pages_take_linear_time(bit):
+    page = bit * (1_000_000 // len(bit))
+    began = time.time()
+    assert sum(1 for _ in wrappers.tags(page)) >= 0
+    assert time.time() - began < 5
