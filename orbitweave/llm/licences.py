@@ -1,4 +1,4 @@
-"""Licence scan (operator 6): runs of lines, and of words inside a line, compared with
+"""Licence scan (operator 6): runs of lines, and of words from any place to any other, compared with
 licence templates by Dice's coefficient over word bigrams.
 
 A template of b bigrams can only reach the coefficient t with a run of between t / (2 - t) * b and (2 - t) / t * b
@@ -82,7 +82,7 @@ class Scanner:
         one of most shared bigrams times coefficient stays, so that a text wins over a notice inside it.
 
         A run of lines begins and ends with a line that has part of a bigram of the template; others only dilute it. Where
-        whole lines don't reach a template, runs of words inside one line do that begin and end with such a bigram.
+        whole lines don't reach a template, runs of words do that begin and end with such a bigram, in one line or over several.
         """
         lines = [normalised(x) for x in text.split("\n")]
         words = [w for x in lines for w in x]
@@ -139,9 +139,9 @@ class Scanner:
                 a, z = next(((a, z) for _, a, z, other, _ in parts if other == name and first[i] <= a and z <= last[i + n - 1]), (first[i], last[i + n - 1]))
                 used.update(range(a, z + 1))
         for _, a, z, name, d in parts:
-            if line_of[a] == line_of[z] and used.isdisjoint(range(a, z + 1)):
+            if used.isdisjoint(range(a, z + 1)):
                 used.update(range(a, z + 1))
-                out.append((name, d, line_of[a], 1, a))
+                out.append((name, d, line_of[a], line_of[z] - line_of[a] + 1, a))
         return [x[:4] for x in sorted(out, key=lambda x: (x[2], x[4]))]
 
     def _records(self, d: np.ndarray, hits: np.ndarray) -> list[int]:
@@ -165,7 +165,7 @@ def licence_scan(docs: DataFrame, wanted: dict[str, str] | None = None, least: f
 
     ``licences`` joins the distinct names by comma; ``matches`` is an array of (licence, dice, line, lines), lines from
     0. Null and empty texts match nothing: best_dice is 0. Of runs that overlap the one of most shared bigrams times
-    coefficient stays, whole lines before words inside lines, ties to the earlier, shorter, then by name. Repeated rows and null ids pass through; an empty table gives no rows.
+    coefficient stays, whole lines before other runs of words, ties to the earlier, shorter, then by name. Repeated rows and null ids pass through; an empty table gives no rows.
     """
     wanted = wanted or templates()
     kinds = pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("line", pa.int32()), ("lines", pa.int32())])

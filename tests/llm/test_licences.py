@@ -7,7 +7,7 @@ from orbitweave.llm.licences import DICE, NOTICES, Scanner, bigrams, dice, licen
 
 
 def plain(text, least=DICE):
-    """All runs of lines, then all runs of words inside a line, against all templates."""
+    """All runs of lines, then all runs of words, against all templates."""
     lines = [normalised(x) for x in text.split("\n")]
     found = []
     for name, t in NOTICES.items():
@@ -45,9 +45,9 @@ def plain(text, least=DICE):
             used.update(range(best[0], best[1] + 1))
             out.append((i, mine[0], name, d, n))
     for _, a, k, name, d in runs:
-        if line_of[a] == line_of[a + k] and used.isdisjoint(range(a, a + k + 1)):
+        if used.isdisjoint(range(a, a + k + 1)):
             used.update(range(a, a + k + 1))
-            out.append((line_of[a], a, name, d, 1))
+            out.append((line_of[a], a, name, d, line_of[a + k] - line_of[a] + 1))
     return [(name, d, i, n) for i, _, name, d, n in sorted(out)]
 
 
@@ -96,7 +96,7 @@ def test_runs_of_many_lines_and_inside_lines_are_found():
     assert [m[0] for m in s.scan(f"{NOTICES['MIT']} {NOTICES['CC-BY-NC-4.0-line']}")] == ["MIT", "CC-BY-NC-4.0-line"]
 
 
-@pytest.mark.parametrize("name", ["Apache-2.0-text", "BSD-3-Clause", "CC0-1.0", "GPL-3.0-text", "MIT-text", "MPL-2.0-text"])
+@pytest.mark.parametrize("name", ["Apache-2.0-text", "BSD-3-Clause", "CC0-1.0-text", "GPL-3.0-text", "MIT-text", "MPL-2.0-text"])
 def test_full_texts_are_found_whole_damaged_and_one_word_a_line(name):
     s, rng = Scanner(templates(), DICE), random.Random(7)
     text = templates()[name]
@@ -108,3 +108,16 @@ def test_full_texts_are_found_whole_damaged_and_one_word_a_line(name):
         found = s.scan(f"{own(40)}\n{body}\n{own(40)}")
         assert any(m[0] == name and m[1] >= sure for m in found)
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("foreign", [5, 60, 200])
+def test_licences_from_inside_one_line_to_inside_another(foreign):
+    s, rng = Scanner(templates(), DICE), random.Random(8)
+    own = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    for name in ("MIT", "GPL-3.0", "BSD-2-Clause"):
+        w = NOTICES[name].split()
+        for lines in (2, 3):
+            cuts = [len(w) * i // lines for i in range(lines + 1)]
+            body = "\n".join(" ".join(w[a:b]) for a, b in zip(cuts, cuts[1:]))
+            found = s.scan(f"{own(20)}\n{own(foreign)} {body} {own(foreign)}\n{own(20)}")
+            assert [m[0] for m in found] == [name] and found[0][1] > 0.8 and found[0][2:] == (1, lines)
