@@ -13,6 +13,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,6 +27,8 @@ from orbitweave.session import durable, shared_dir
 FILE_RECORDS, FANOUT, CROWDED = 256, 8, 4
 #: Rows of two numbers that are sent to all executors, at most.
 SENT_ROWS = 100_000
+#: Packed bytes that are read at a time from a damaged file; what one of these steps would have given may be lost.
+SALVAGED = 64
 #: Fixed value: the date in the records' headers, so that records depend on their pages alone.
 DATE = "2020-01-01T00:00:00Z"
 
@@ -109,7 +112,22 @@ def read_pages(spark: SparkSession, path: str, file_records: int = FILE_RECORDS)
 
 
 def _unpacked(data: bytes) -> bytes:
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """A file's bytes, unpacked where they are packed; of packed bytes that are damaged what stands before the damage."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    try:
+        return gzip.decompress(data)
+    except (OSError, EOFError, zlib.error):
+        out, unpack = [], zlib.decompressobj(31)
+        try:
+            for i in range(0, len(data), SALVAGED):
+                out.append(unpack.decompress(data[i : i + SALVAGED]))
+                while unpack.eof and unpack.unused_data:
+                    rest, unpack = unpack.unused_data, zlib.decompressobj(31)
+                    out.append(unpack.decompress(rest))
+        except zlib.error:
+            pass
+        return b"".join(out)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

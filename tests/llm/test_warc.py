@@ -87,3 +87,28 @@ def test_odd_rows(spark, monkeypatch):
     got = fixity_audit(df, lambda x: x.filter("page_id = 1"), 4).collect()
     assert len(got) == len(rows) - 2 and {r.finding for r in got} == {"lost"}
     assert fixity_audit(df.limit(0)).collect() == []
+
+
+def test_damaged_packed_bytes_are_found_and_fail_nothing(spark, tmp_path):
+    import glob
+    import gzip
+    import shutil
+    from pathlib import Path
+
+    write_warc(with_names(pages(spark, 96), 32), f"{tmp_path}/a")
+    shutil.copytree(f"{tmp_path}/a", f"{tmp_path}/b")
+    hit, cut = sorted(glob.glob(f"{tmp_path}/b/file=*/*.gz"))[:2]
+    whole = {p: gzip.open(p).read() for p in (hit, cut)}
+    data = bytearray(Path(hit).read_bytes())
+    data[len(data) // 2] ^= 0x55
+    Path(hit).write_bytes(data)
+    Path(cut).write_bytes(Path(cut).read_bytes()[:-200])
+    for crc in glob.glob(f"{tmp_path}/b/file=*/.*.crc"):
+        Path(crc).unlink()
+    assert whole[cut].startswith(part := warc._unpacked(Path(cut).read_bytes())) and 0 < len(part) < len(whole[cut])
+    assert warc._unpacked(gzip.compress(b"one") + gzip.compress(b"two")) == b"onetwo"
+    found = audit_files(spark, f"{tmp_path}/a", f"{tmp_path}/b", 32, 4).collect()
+    held = {r.id for r in read_warc(spark, f"{tmp_path}/a", 32).collect() if r.file in {p.split("file=")[1].split("/")[0] for p in (hit, cut)}}
+    named = {r.id for r in found if r.id in held}
+    assert len(named) >= 4 and {r.id for r in found} - held <= {r.id for r in found if r.finding == "added"} and {r.finding for r in found} <= {"changed", "lost", "added", "moved"}
+    assert audit_files(spark, f"{tmp_path}/a", f"{tmp_path}/a", 32, 4).count() == 0
