@@ -56,8 +56,11 @@ def with_dense_index(df: DataFrame, key: str | list[str], name: str) -> DataFram
 def balanced_classes(df: DataFrame, cls: str, order: list[str], factor: float = 1.25) -> DataFrame:
     """Of each class the first rows by ``order``, at most ``factor`` times as many as the smallest class has.
 
-    Class sizes come from one small aggregate, which is sent to all tasks: a row a class.
+    The least size comes from one aggregate, of a row a class. A class is ranked in hashed parts first, of which each keeps
+    as many rows as the class may, so that a class far larger than the smallest is never sorted in one task.
     """
-    least = df.groupBy(cls).agg(F.count("*").alias("__n")).agg(F.floor(F.lit(factor) * F.min("__n")).alias("__most"))
-    nth = F.row_number().over(Window.partitionBy(cls).orderBy(*order))
-    return df.withColumn("__nth", nth).join(F.broadcast(least)).filter(F.col("__nth") <= F.col("__most")).drop("__nth", "__most")
+    most = df.groupBy(cls).agg(F.count("*").alias("__n")).agg(F.floor(F.lit(factor) * F.min("__n"))).first()[0] or 0
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    few = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts))).withColumn("__nth", nth(cls, "__part")).filter(F.col("__nth") <= most)
+    return few.withColumn("__nth", nth(cls)).filter(F.col("__nth") <= most).drop("__nth", "__part")

@@ -80,5 +80,7 @@ def cut_to_length(df: DataFrame, keys: list[str], order: list[str], same: list[s
     rows = rows.withColumn("__need", need).withColumn("__d", repeats)
     k = F.when(F.col("again"), F.least("__need", "__d")).otherwise(F.col("__need") - F.col("__d"))
     at = lambda i: F.when(F.col("__k") == 1, 0.0).otherwise(F.rint(i * (F.col("__m") - 1) / (F.col("__k") - 1)))
-    goes = (F.col("__k") > 0) & F.exists(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__k") - 1, F.lit(0))), lambda i: at(i) == F.col("__j"))
+    # the i that may round to a row's own place is next to its place over the spacing, which is 1 at least
+    near = F.rint(F.col("__j") * (F.col("__k") - 1) / F.greatest(F.col("__m") - 1, F.lit(1)))
+    goes = (F.col("__k") > 0) & F.exists(F.array(*[F.least(F.greatest(near + d, F.lit(0.0)), (F.col("__k") - 1).cast("double")) for d in (-1, 0, 1)]), lambda i: at(i) == F.col("__j"))
     return rows.withColumn("__k", k).filter(~goes).drop("__m", "__j", "__need", "__d", "__k", "pos", "again")

@@ -6,6 +6,8 @@ import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,38 @@ def local_session(app: str = "orbitweave", cpus: int | str = "*", partitions: in
     )
 
 
+#: Folders of the runs that are open, the innermost last.
+_RUNS: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of one run below the shared one: all that is written inside the block is deleted at its end.
+
+    Results must be taken, or written elsewhere, before that: they read what the run wrote.
+    """
+    outer, jvm = shared_dir(spark), spark.sparkContext._jvm
+    folder = f"{outer}/run-{uuid.uuid4().hex}"
+    before = spark.sparkContext.getCheckpointDir()
+    _RUNS.append(folder)
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        spark.sparkContext.setCheckpointDir(before.rpartition("/")[0] if before else outer)  # Spark makes a folder of its own below the one that is set
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder of its own.
+    Only a session without that setting (a test on one machine) gets a temporary folder of its own. Inside a
+    :func:`run_folder` it is the run's.
     """
+    if _RUNS:
+        return _RUNS[-1]
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():

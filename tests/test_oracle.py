@@ -29,6 +29,7 @@ def rows(columns, found):
 
 
 def check(spark, name, sf):
+    """Compares a query with its SQL; how many rows it gives."""
     con = duckdb.connect()
     for p in Path(sf).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}{'/*' if p.is_dir() else ''}'")
@@ -37,15 +38,15 @@ def check(spark, name, sf):
     got = QUERIES[name](spark, sf)
     assert sorted(got.columns) == sorted(columns)
     found = got.collect()
-    assert found, "a query without rows shows nothing"
     assert rows(got.columns, found) == rows(columns, want.fetchall())
+    return len(found)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
-    check(spark, name, SF)
+    assert check(spark, name, SF) or check(spark, name, "/root/testdata/sf0.01"), "a query without rows shows nothing"
 
 
 @pytest.mark.parametrize("name", LARGER)
 def test_query_equals_sql_on_more_rows(spark, name):
-    check(spark, name, "/root/testdata/sf0.01")
+    assert check(spark, name, "/root/testdata/sf0.01")

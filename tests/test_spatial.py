@@ -15,8 +15,7 @@ def plain(measure, lat, lon, lats, lons):
     return {"l1": up + aside, "cos_squared": up**2 + (aside * np.cos(np.radians(lat))) ** 2, "euclidean": np.hypot(up, aside)}[measure]
 
 
-@pytest.mark.parametrize("places", [3, 128])
-@pytest.mark.parametrize("measure", MEASURES)
+@pytest.mark.parametrize("measure, places", [*[(m, 3) for m in MEASURES], ("cos_squared", 128)])
 def test_dense_places_lonely_rows_and_copies(spark, measure, places):
     """Many places in a hundredth of a degree, few elsewhere, copies of one place, rows far from all and beside the date line."""
     rng = np.random.default_rng(6)
