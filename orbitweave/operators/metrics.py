@@ -58,21 +58,24 @@ def reconstruction_metrics(df: DataFrame, by: list[str], frame: list[str], pred:
 def global_ssim(df: DataFrame, by: list[str], x: str, y: str, value_range: float, weight: Column | None = None) -> DataFrame:
     """Structural similarity of each group from its means and population (co)variances, rows weighted where ``weight`` is given.
 
-    Weighted moments are centred by the weighted means in a second pass; weights that add up to less than 1 count as 1.
+    Weighted moments come from one aggregate too, and no row is joined with its group's means: over n rows the sum of w (a - ma) (b - mb)
+    is n (cov(wa, b) - ma cov(w, b) + (avg(b) - mb) avg(w (a - ma))), whatever ma and mb are. These covariances are centred as they are
+    summed, both by the same running mean of b, so the digits that are lost grow with the mean over the deviation, not with its square.
+    Rows of weight 0 stay out of them, whatever they hold; weights that add up to less than 1 count as 1.
     """
     if weight is None:
         s = df.groupBy(*by).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cxy"))
         return s.select(*by, _ssim(*[F.col(c) for c in ("mx", "my", "vx", "vy", "cxy")], value_range).alias("ssim"))
-    mean = lambda v: F.sum(weight * v) / F.greatest(F.sum(weight), F.lit(1.0))
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    keys = [F.col(c).alias(f"__{c}") for c in by]
-    means = df.groupBy(*keys).agg(mean(a).alias("__mx"), mean(b).alias("__my"))
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    da, db = a - F.col("__mx"), b - F.col("__my")
-    s = df.join(means, same).groupBy(*by, "__mx", "__my").agg(mean(da * da).alias("__vx"), mean(db * db).alias("__vy"), mean(da * db).alias("__cxy"))
-    return s.select(*by, _ssim(*[F.col(f"__{c}") for c in ("mx", "my", "vx", "vy", "cxy")], value_range).alias("ssim"))
+    x, y, total = F.col(x).cast("double"), F.col(y).cast("double"), F.greatest(F.sum(weight), F.lit(1.0))
+    mx, my = F.sum(weight * x) / total, F.sum(weight * y) / total
+
+    def moment(a: Column, b: Column, ma: Column, mb: Column) -> Column:
+        known = a.isNotNull() & b.isNotNull() & weight.isNotNull()
+        w = F.when(known & (weight != 0), weight)
+        centred = F.count(w) * (F.covar_pop(w * a, b) - ma * F.covar_pop(w, b)) + (F.avg(F.when(w.isNotNull(), b)) - mb) * (F.sum(w * a) - ma * F.sum(w))
+        return F.coalesce(centred / total, F.max(F.when(known, 0.0)))  # 0 where all weights are
+
+    return df.groupBy(*by).agg(_ssim(mx, my, moment(x, x, mx, mx), moment(y, y, my, my), moment(x, y, mx, my), value_range).alias("ssim"))
 
 
 def regression_metrics(df: DataFrame, by: list[str], pred: str, target: str, wet: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbitweave.functions import geo
 from orbitweave.operators import arrays, metrics, states
 from orbitweave.sources import sinks, staged
-from tests.plans import scans
+from tests.plans import scans, shuffled
 
 
 def test_an_early_stop_opens_few_files(spark, tmp_path):
@@ -143,6 +143,34 @@ def test_weighted_similarity_is_centred_and_bears_empty_masks(spark):
         assert got[g] == pytest.approx(plain_ssim(p, t, w, 4.0), rel=1e-6)
 
 
+def test_weighted_similarity_shuffles_sums_and_not_rows(spark, tmp_path):
+    """Rows of two groups that are joined with their means go to two tasks, half the table each."""
+    rows = spark.range(0, 40_000, 1, 4).select((F.col("id") % 2).alias("g"), (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 89).cast("double").alias("y"), (F.col("id") % 7).alias("w"))
+    rows.write.parquet(f"{tmp_path}/x")
+    df = metrics.global_ssim(spark.read.parquet(f"{tmp_path}/x"), ["g"], "x", "y", 100.0, F.col("w"))
+    assert len(df.collect()) == 2
+    assert [n for _, n in scans(df)] == [40_000] and sum(shuffled(df)) <= 2 * 4
+
+
+def test_weighted_similarity_bears_fills_nulls_and_light_weights(spark):
+    rng = np.random.default_rng(5)
+    rows = [("fills", *((p, t, 1.0 + i % 3) if i % 4 else (1e30, -9999.0, 0.0))) for i, (p, t) in enumerate(rng.normal(1e6, 1, (200, 2)).tolist())]
+    rows += [("light", p, t, 1e-4 * (1 + i % 3)) for i, (p, t) in enumerate(rng.normal(300, 1, (50, 2)).tolist())]
+    nulls = [(p if i % 3 else None, t if i % 5 else None, 1.0 + i % 2) for i, (p, t) in enumerate(rng.normal(300, 1, (200, 2)).tolist())]
+    df = spark.createDataFrame(rows + [("nulls", *r) for r in nulls] + [("apart", 1.0, None, 1.0), ("apart", None, 2.0, 1.0)], "g string, x double, y double, w double")
+    got = {r.g: r.ssim for r in metrics.global_ssim(df, ["g"], "x", "y", 4.0, F.col("w")).collect()}
+    for g in ("fills", "light"):
+        p, t, w = (np.array(x) for x in list(zip(*[r for r in rows if r[0] == g]))[1:])
+        assert got[g] == pytest.approx(plain_ssim(p, t, w, 4.0), rel=1e-9)
+    # a null stays out of the sums that it takes part in, its weight counts
+    p, t, w = (np.array([np.nan if v is None else v for v in x]) for x in zip(*nulls))
+    mean = lambda v: np.nansum(v * w) / w.sum()
+    mp, mt = mean(p), mean(t)
+    vp, vt, c = mean((p - mp) ** 2), mean((t - mt) ** 2), mean((p - mp) * (t - mt))
+    assert got["nulls"] == pytest.approx((2 * mp * mt + 0.04**2) * (2 * c + 0.12**2) / ((mp**2 + mt**2 + 0.04**2) * (vp + vt + 0.12**2)), rel=1e-9)
+    assert got["apart"] is None
+
+
 def test_the_sun_in_leap_years(spark):
     """Values by the same series in plain floats: a leap year divides by 366."""
 
